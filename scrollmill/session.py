@@ -43,3 +43,20 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` written once to the checkpoint folder and read back, its lineage cut."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of any cluster: sent once a session."""
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_scrollmill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="scrollmill-"), "scrollmill.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(target)
+    sc._scrollmill_shipped = True
