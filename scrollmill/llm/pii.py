@@ -97,6 +97,8 @@ _ADDRESS = re.compile(
 _STREET_HINT = re.compile(
     rf"{_STREET}\b|straße|strasse|str\.|gasse|weg|platz|llee|damm|ufer|Calle|Avenida|Avda|Av\.|Plaza|Paseo|Camino|C/|rue |venue |allée|oulevard|chemin|place |impasse|quai |route |cours |Box|Postfach|Apartado"
 )
+_WORD = re.compile(r"[a-z]{3,}")
+_LOWER = re.compile(r"(?<![\w@.+-])([a-z]{3,})(,[ ]|[ ][a-z]\.[ ]|[ ])([a-z]{3,})(?![\w@+]|[ ]?[\[(]at[\])])")
 _BEFORE = re.compile(r"(\S+)([ \t]*)(\n?)\s*$")
 _TERM = re.compile(r"\b[A-ZÀ-ÖØ-Þ][^\W\d_]*")
 
@@ -183,7 +185,8 @@ def scan(items: DataFrame, lexicon: DataFrame) -> DataFrame:
 
     Rows of `what`: 'value' (a value of fixed form), 'frame' (a frame, its terms and whether the
     lexicon has them, and the word before it), 'term' (a term outside the lexicon: its capitalised
-    occurrences `n` and those in email addresses). `lexicon` (`token,
+    occurrences `n` and those in email addresses), 'lower' (two names of the lexicon in small
+    letters) and 'plain' (a name of the lexicon and its occurrences in small letters). `lexicon` (`token,
     name_part`) is a list of fixed size and goes to every task.
     """
     rows = lexicon.select(F.lower("token").alias("t"), F.lower("name_part").alias("p")).dropna().collect()
@@ -194,7 +197,7 @@ def scan(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            total, mailed = Counter(), Counter()
+            total, mailed, plain = Counter(), Counter(), Counter()
             for table, item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if not (text := text.as_py()):
                     continue
@@ -210,6 +213,17 @@ def scan(items: DataFrame, lexicon: DataFrame) -> DataFrame:
                         continue
                     g, f = given is None or given in known_given, family in known_family
                     out.append(("frame", table, item, None, s, e, given, family, g, f, context(text, s), None, None))
+                words = [w for w in _WORD.findall(text) if w in known]
+                if words:
+                    plain.update(words)
+                    if not known_family.isdisjoint(words) and not known_given.isdisjoint(words):
+                        at = 0
+                        while m := _LOWER.search(text, at):
+                            at = m.start(3)
+                            given, family = (m[3], m[1]) if m[2] == ", " else (m[1], m[3])
+                            if given in known_given and family in known_family and all(m.end() <= s or m.start() >= e for s, e, _ in values):
+                                out.append(("lower", table, item, None, m.start(), m.end(), given, family, True, True, None, None, None))
+            out.extend(("plain", None, None, None, None, None, t, None, None, None, None, n, None) for t, n in plain.items())
             for t in total.keys() | mailed.keys():
                 if t not in known:
                     out.append(("term", None, None, None, None, None, t, None, None, None, None, total[t], mailed[t]))
@@ -261,6 +275,20 @@ def disclosure(scanned: DataFrame) -> DataFrame:
     )
 
 
+def small_letters(scanned: DataFrame) -> DataFrame:
+    """Persons written in small letters: a pair of which one name hardly occurs but in such pairs.
+
+    Some names are also words (`mark`, `branch`): a pair of two such words is none.
+    """
+    pairs = scanned.filter("what = 'lower'")
+    counted = pairs.select(F.explode(F.array("given", "family")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("paired"))
+    plain = scanned.filter("what = 'plain'").groupBy(F.col("given").alias("term")).agg(F.sum("n").alias("n"))
+    rare = counted.join(plain, "term").filter("paired >= 0.5 * n").select("term")
+    named = pairs.join(rare.select(F.col("term").alias("given"), F.lit(True).alias("a")), "given", "left")
+    named = named.join(rare.select(F.col("term").alias("family"), F.lit(True).alias("b")), "family", "left")
+    return named.filter("a or b").select("item_table", "item_id", F.lit("person_name").alias("pii_type"), "start_char", "end_char")
+
+
 def spans(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Every occurrence of personal information: `item_table, item_id, pii_type, start_char, end_char`.
 
@@ -278,6 +306,7 @@ def spans(items: DataFrame, lexicon: DataFrame) -> DataFrame:
         .join(family, "family", "left")
         .filter("(is_given or learned_given) and (is_family or learned_family)")
         .select("item_table", "item_id", F.lit("person_name").alias("pii_type"), "start_char", "end_char")
+        .unionByName(small_letters(scanned))
     )
     # frames of one text that share a term: the later one would claim a part of the earlier
     per_text = people.groupBy("item_table", "item_id", "pii_type").agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("all"))
