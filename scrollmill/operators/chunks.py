@@ -1,0 +1,239 @@
+"""Folding events into single-speaker chunks of bounded size.
+
+Each user event is a chunk; assistant events that follow one another merge; a change of speaker,
+session or source closes the open chunk, and so does reaching the size limit, at which the text
+is cut into pieces at character boundaries. Order matters only inside such a run, so rows are
+range-partitioned by (file, generation, start), each task marks where its runs begin, one row a
+task tells the driver which run goes on across an edge, and rows are dealt out anew by run: a
+file with a third of all rows is spread over many tasks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
+
+from scrollmill.functions.blank import trimmed
+from scrollmill.session import cut
+
+MOST_BYTES = 16384
+_FILE = ["agent", "source_file_id", "source_generation"]
+_COLUMNS = [*_FILE, "native_id", "source_start", "source_end", "kind", "timestamp", "source_path", "text"]
+
+
+def normalized(text: Column) -> Column:
+    """White space runs as one space, none outside."""
+    return trimmed(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def pieces(text: str, most: int) -> Iterator[str]:
+    """`text` in pieces of at most `most` UTF-8 bytes, cut between characters; at least one character each."""
+    data, at = text.encode(), 0
+    while at < len(data):
+        stop = min(at + max(4, most), len(data))
+        while stop < len(data) and data[stop] & 0xC0 == 0x80:
+            stop -= 1
+        yield data[at:stop].decode()
+        at = stop
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _row_type(df: DataFrame, names: list[str]) -> str:
+    return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+def fold(events: DataFrame, most: int = MOST_BYTES, final: bool = True) -> DataFrame:
+    """Chunks of `events` (the columns of normalized events).
+
+    Columns: `agent, native_id, source_file_id, source_generation, source_path, ordinal, kind,
+    timestamp, source_start, source_end, text, n_events, is_open`. A chunk has its first event's
+    time in milliseconds (null if that has none), the least start and the greatest end of its
+    events; `ordinal` counts from 0 per file and generation. Null and blank texts, null kinds and
+    other kinds than 0 and 1 are dropped; events repeated under one (file, generation, start,
+    kind, text) count once. Each file's last chunk `is_open`; without `final` it is left out.
+    """
+    rows = (
+        events.filter("kind in (0, 1)")
+        .withColumn("text", normalized(F.col("text")))
+        .filter("text != ''")
+        .groupBy(*_FILE, "native_id", "source_start", "kind", F.md5(F.col("text").cast("binary")).alias("_digest"))
+        .agg(F.min("source_end").alias("source_end"), F.min("timestamp").alias("timestamp"), F.min("source_path").alias("source_path"), F.first("text").alias("text"))
+        .select(*_COLUMNS)
+    )
+    order = [*_FILE, "source_start", "source_end", "kind", "native_id"]
+    n = _tasks(events)
+    ordered = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    edges = _edges(ordered)
+    runs = _marked(ordered, edges)
+    dealt = runs.repartition(n, *_FILE, "head").sortWithinPartitions(*_FILE, "head", "source_start", "source_end")
+    chunks = _folded(dealt, most)
+    placed = _numbered(chunks, n)
+    return placed if final else placed.filter("not is_open")
+
+
+def _key(r) -> tuple:
+    return tuple(r[c] for c in _FILE)
+
+
+def _edges(ordered: DataFrame) -> dict[int, int]:
+    """For each task whose first row goes on with a run begun before it: where that run begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        head = None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                file, session, start, kind = row[:3], row[3], row[4], row[5]
+                here = (file, session, kind)
+                if last is None:
+                    first = (here, start)
+                elif here != last or kind == 0:
+                    head = start
+                last = here
+        if last is not None:
+            (f0, s0, k0), _ = first
+            f1, s1, k1 = last
+            rows = [[TaskContext.get().partitionId()], *[[x] for x in f0], [s0], [k0], [first[1]], *[[x] for x in f1], [s1], [k1], [head]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(rows, [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int64()])],
+                ["p", "a0", "f0", "g0", "s0", "k0", "first", "a1", "f1", "g1", "s1", "k1", "head"],
+            )
+
+    ddl = "p int, a0 int, f0 bigint, g0 bigint, s0 string, k0 int, first bigint, a1 int, f1 bigint, g1 bigint, s1 string, k1 int, head bigint"
+    names = [*_FILE, "native_id", "source_start", "kind"]
+    rows = ordered.select(*names).mapInArrow(run, ddl).collect()  # a row a task
+    out: dict[int, int] = {}
+    before = None
+    for r in sorted(rows, key=lambda r: r["p"]):
+        start = (r["a0"], r["f0"], r["g0"], r["s0"], r["k0"])
+        begun = r["first"]
+        if before is not None and before[0] == start and r["k0"] == 1:
+            begun = out[r["p"]] = before[1]
+        before = ((r["a1"], r["f1"], r["g1"], r["s1"], r["k1"]), begun if r["head"] is None else r["head"])
+    return out
+
+
+def _marked(ordered: DataFrame, edges: dict[int, int]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, head = None, None
+        for batch in batches:
+            heads = []
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                here = (row[:3], row[3], row[6])
+                if last is None:
+                    head = edges.get(TaskContext.get().partitionId(), row[4])
+                elif here != last or row[6] == 0:
+                    head = row[4]
+                heads.append(head)
+                last = here
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.int64())], [*batch.schema.names, "head"])
+
+    return ordered.mapInArrow(run, _row_type(ordered, _COLUMNS) + ", head bigint")
+
+
+def _folded(dealt: DataFrame, most: int) -> DataFrame:
+    names = [*_FILE, "native_id", "source_path", "head", "part", "kind", "timestamp", "source_start", "source_end", "text", "n_events"]
+    ddl = _row_type(dealt, [*_FILE, "native_id", "source_path"]) + ", head bigint, part int, kind int, timestamp timestamp, source_start bigint, source_end bigint, text string, n_events int"
+    at = {c: i for i, c in enumerate([*_COLUMNS, "head"])}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        schema = None
+        for key, group in groupby(rows(batches), key=lambda r: (*r[:4], r[at["head"]], r[at["kind"]])):
+            part, texts, size, open_ = 0, [], 0, None
+
+            def close(limit: bool) -> Iterator[tuple]:
+                whole = "\n".join(texts)
+                for k, text in enumerate(pieces(whole, most) if limit else [whole]):
+                    yield (*key[:4], open_[3], key[4], part + k, key[5], open_[0], open_[1], open_[2], text, len(texts))
+
+            for r in group:
+                if open_ is None:
+                    open_ = [r[at["timestamp"]], r[at["source_start"]], r[at["source_end"]], r[at["source_path"]]]
+                    texts, size = [], 0
+                open_[1] = min(open_[1], r[at["source_start"]])
+                open_[2] = max(open_[2], r[at["source_end"]])
+                size += len(r[at["text"]].encode()) + bool(texts)
+                texts.append(r[at["text"]])
+                if size >= most:
+                    made = list(close(True))
+                    out += made
+                    part += len(made)
+                    open_ = None
+            if open_ is not None:
+                out += close(False)
+            if len(out) > 512:
+                yield _batch(out, names)
+                out = []
+        if out:
+            yield _batch(out, names)
+
+    return dealt.mapInArrow(run, ddl)
+
+
+def _batch(out: list[tuple], names: list[str]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.timestamp("us", "UTC"), pa.int64(), pa.int64(), pa.string(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+
+def _numbered(chunks: DataFrame, n: int) -> DataFrame:
+    """`ordinal` of each chunk in its file: counted within tasks of a range partitioning, carried over edges."""
+    order = [*_FILE, "head", "part", "native_id"]
+    ordered = cut(chunks.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    per = ordered.withColumn("p", F.spark_partition_id()).groupBy("p", *_FILE).agg(F.count(F.lit(1)).alias("n"))
+    # of each task its first and last file are enough: only these can reach over an edge
+    ends = per.groupBy("p").agg(F.min(F.struct(*_FILE, "n")).alias("lo"), F.max(F.struct(*_FILE, "n")).alias("hi"), F.count(F.lit(1)).alias("files")).orderBy("p").collect()
+    carry: dict[int, int] = {}
+    before: tuple | None = None
+    last_task = {}
+    for r in ends:
+        lo, hi = _key(r["lo"]), _key(r["hi"])
+        start = before[1] if before is not None and before[0] == lo else 0
+        carry[r["p"]] = start
+        before = (hi, r["hi"]["n"] + (start if hi == lo else 0))
+        last_task[hi] = r["p"]
+        if lo not in last_task or lo == hi:
+            last_task[lo] = r["p"]
+    edge = {p for p in carry}
+    goes_on = {a["p"] for a, b in zip(ends, ends[1:]) if _key(a["hi"]) == _key(b["lo"])}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        file, place, held = None, 0, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            at = []
+            for key in keys:
+                if key != file:
+                    place = carry.get(task, 0) if file is None and task in edge else 0
+                    file = key
+                at.append(place)
+                place += 1
+            done = pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], [*batch.schema.names, "ordinal"])
+            if held is not None:
+                yield _open(held, keys[0] != held[1])
+            held = (done, keys[-1], keys)
+        if held is not None:
+            yield _open(held, task not in goes_on)
+
+    def _open(held, ends_: bool) -> pa.RecordBatch:
+        batch, _, keys = held
+        flags = [a != b for a, b in zip(keys, keys[1:])] + [ends_]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags)], [*batch.schema.names, "is_open"])
+
+    numbered = ordered.mapInArrow(run, _row_type(ordered, ordered.columns) + ", ordinal bigint, is_open boolean")
+    return numbered.select(
+        "agent", "native_id", "source_file_id", "source_generation", "source_path", "ordinal", "kind",
+        F.date_trunc("millisecond", "timestamp").alias("timestamp"), "source_start", "source_end", "text", "n_events", "is_open",
+    )
