@@ -31,16 +31,13 @@ def with_tokens(chunks: DataFrame) -> DataFrame:
 
 
 def frequency(phrase: Phrase, toks: Column) -> Column:
-    """How often `phrase` occurs among the tokens of a row."""
+    """How often `phrase` occurs among the tokens of a row, overlapping occurrences each."""
     *head, last = phrase.tokens
-    fits = lambda x: x.startswith(last) if phrase.prefix else x == last
     if not head:
-        return F.size(F.filter(toks, fits))
-    n = len(phrase.tokens)
-    starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))).otherwise(F.expr("cast(array() as array<int>)"))
-    # a row that lacks the first token needs no look at positions
-    at = lambda i: reduce(lambda a, b: a & b, [F.element_at(toks, i + k) == t for k, t in enumerate(head)]) & fits(F.element_at(toks, i + n - 1))
-    return F.when(F.array_contains(toks, head[0]), F.size(F.filter(starts, at))).otherwise(0)
+        return F.size(F.filter(toks, (lambda x: x.startswith(last)) if phrase.prefix else (lambda x: x == last)))
+    # consecutive tokens as one string: a lambda over positions would compute the tokens anew at each
+    wanted = "\x1f".join(rf"\Q{t}\E" for t in phrase.tokens) + ("" if phrase.prefix else "\x1f")
+    return F.regexp_count(F.concat(F.lit("\x1f"), F.array_join(toks, "\x1f"), F.lit("\x1f")), F.lit(f"(?<=\x1f)(?={wanted})"))
 
 
 def matches(tree, tf: dict[Phrase, Column]) -> Column:
