@@ -50,6 +50,20 @@ def matches(tree, tf: dict[Phrase, Column]) -> Column:
     return reduce((lambda a, b: a & b) if tree.op == "AND" else (lambda a, b: a | b), parts)
 
 
+def counted(tree, tf: dict[Phrase, Column], gate: Column | None = None) -> list[tuple[Phrase, Column]]:
+    """Each phrase with the frequency by which it counts in a row that matches the tree.
+
+    A phrase below an AND or NOT that the row does not satisfy (the row matched by another branch
+    of an OR) counts as absent.
+    """
+    if isinstance(tree, Phrase):
+        return [(tree, tf[tree] if gate is None else F.when(gate, tf[tree]).otherwise(0))] if tree.tokens else []
+    if tree.op != "OR":
+        own = matches(tree, tf)
+        gate = own if gate is None else gate & own
+    return [x for p in tree.parts for x in counted(p, tf, gate)]
+
+
 @dataclass
 class Statistics:
     """Rows, tokens, and rows with each phrase of an expression."""
@@ -76,10 +90,10 @@ def idf(stats: Statistics, phrase: Phrase) -> float:
     return value if value > 0 else 1e-6
 
 
-def score(stats: Statistics, found: list[Phrase], tf: dict[Phrase, Column]) -> Column:
+def score(stats: Statistics, found: list[tuple[Phrase, Column]]) -> Column:
     """BM25, negative: the least is best. Each phrase counts as often as it is in the expression."""
     norm = K1 * (1 - B) + F.size("tokens") * (K1 * B * stats.rows / max(stats.tokens, 1))
-    terms = [tf[p] * (idf(stats, p) * (K1 + 1)) / (tf[p] + norm) for p in found]
+    terms = [tf * (idf(stats, p) * (K1 + 1)) / (tf + norm) for p, tf in found]
     return -reduce(lambda a, b: a + b, terms)
 
 
@@ -96,11 +110,11 @@ def hits(chunks: DataFrame, text: str, kind: int | None = None) -> DataFrame:
         return source.withColumn("score", F.lit(0.0)).filter(F.lit(False))
     stats = statistics(source, found)
     tf = {p: F.col(f"_tf{i}") for i, p in enumerate(dict.fromkeys(found))}
-    counted = source.select("*", *(frequency(p, F.col("tokens")).alias(f"_tf{i}") for i, p in enumerate(tf)))
-    kept = counted.filter(matches(tree, tf))
+    rows = source.select("*", *(frequency(p, F.col("tokens")).alias(f"_tf{i}") for i, p in enumerate(tf)))
+    kept = rows.filter(matches(tree, tf))
     if kind is not None:
         kept = kept.filter(F.col("kind") == kind)
-    return kept.withColumn("score", score(stats, found, tf)).drop(*(f"_tf{i}" for i in range(len(tf))))
+    return kept.withColumn("score", score(stats, counted(tree, tf))).drop(*(f"_tf{i}" for i in range(len(tf))))
 
 
 _ORDER = ["score", "agent", "native_id", "ordinal", "chunk_id"]

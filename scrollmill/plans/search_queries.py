@@ -184,6 +184,14 @@ def _match_sql(tree, names: dict[Phrase, str]) -> str:
     return f" {tree.op.lower()} ".join(parts)
 
 
+def _counted_sql(tree, names: dict[Phrase, str], gate: str = "true") -> list[tuple[Phrase, str]]:
+    if isinstance(tree, Phrase):
+        return [(tree, f"(case when {gate} then {names[tree]} else 0 end)")] if tree.tokens else []
+    if tree.op != "OR":
+        gate = f"{gate} and ({_match_sql(tree, names)})"
+    return [x for p in tree.parts for x in _counted_sql(p, names, gate)]
+
+
 def hits_sql(text: str, kind: int | None = None) -> str:
     """SQL for the hits of an expression: tokens, statistics over all rows, score."""
     tree = parse(text)
@@ -193,7 +201,7 @@ def hits_sql(text: str, kind: int | None = None) -> str:
     having = ", ".join(f"sum(case when {n} > 0 then 1 else 0 end) as h_{n}" for n in names.values())
     idf = lambda n: f"case when h_{n} < n_rows or h_{n} = 0 then greatest(ln((n_rows - h_{n} + 0.5) / (h_{n} + 0.5)), 1e-6) else 1e-6 end"
     norm = "(0.3 + len(toks) * (0.9 * n_rows / n_tokens))"
-    score = " + ".join(f"{names[p]} * (({idf(names[p])}) * 2.2) / ({names[p]} + {norm})" for p in found)
+    score = " + ".join(f"{tf} * (({idf(names[p])}) * 2.2) / ({tf} + {norm})" for p, tf in _counted_sql(tree, names))
     role = "" if kind is None else f" and kind = {kind}"
     return f"""
         with tokenized as (select *, {_TOKENS} as toks from search_chunks),

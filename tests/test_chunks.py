@@ -1,0 +1,73 @@
+import random
+
+from scrollmill.operators import chunks
+
+SCHEMA = (
+    "event_id bigint, agent int, native_id string, kind int, timestamp timestamp, source_path string, source_file_id bigint,"
+    " source_generation bigint, source_start bigint, source_end bigint, text string, head string"
+)
+
+
+def brute(events, most):
+    """Row-by-row folding of one sorted file at a time."""
+    out, file, open_, ordinal = [], None, None, {}
+
+    def close():
+        nonlocal open_
+        if open_ is None:
+            return
+        whole = "\n".join(open_[5])
+        parts = list(chunks.pieces(whole, most)) if len(whole.encode()) >= most else [whole]
+        for p in parts:
+            key = open_[0]
+            out.append((*key, ordinal.get(key, 0), open_[1], open_[2], open_[3], open_[4], p))
+            ordinal[key] = ordinal.get(key, 0) + 1
+        open_ = None
+
+    seen = set()
+    for e in sorted(events, key=lambda e: (e[1], e[6], e[7], e[8], e[9], e[3] if e[3] is not None else -1)):
+        text = " ".join((e[10] or "").split())
+        mark = (e[1], e[6], e[7], e[2], e[8], e[3], text)
+        if e[3] not in (0, 1) or not text or mark in seen:
+            continue
+        seen.add(mark)
+        key = (e[1], e[6], e[7])
+        if open_ is not None and (open_[0] != key or open_[1] != e[2] or open_[2] != e[3] or e[3] == 0):
+            close()
+        if open_ is None:
+            open_ = [key, e[2], e[3], e[8], e[9], []]
+        open_[3], open_[4] = min(open_[3], e[8]), max(open_[4], e[9])
+        open_[5].append(text)
+        if len("\n".join(open_[5]).encode()) >= most:
+            close()
+    close()
+    return sorted(map(repr, out))
+
+
+def _events(seed, n):
+    rng = random.Random(seed)
+    rows, at = [], 0
+    for i in range(n):
+        file = 1 if rng.random() < 0.6 else rng.randint(2, 4)
+        at += 10
+        text = rng.choice(["alpha beta", " long " * rng.randint(1, 9), "é" * rng.randint(1, 30), " \t", None, "x"])
+        rows.append((i, 0, rng.choice(["s1", "s1", "s1", "s2"]), rng.choice([0, 1, 1, 1, 1, None, 2]), None, "/p", file, 0, at, at + 9, text, "clash"))
+    return rows + rows[:3]
+
+
+def test_fold_equals_brute_force(spark):
+    for seed in (1, 2):
+        rows = _events(seed, 300)
+        got = chunks.fold(spark.createDataFrame(rows, SCHEMA), most=48).collect()
+        mine = sorted(repr((r["agent"], r["source_file_id"], r["source_generation"], r["ordinal"], r["native_id"], r["kind"], r["source_start"], r["source_end"], r["text"])) for r in got)
+        assert mine == brute(rows, 48)
+        assert all(len(r["text"].encode()) <= 48 for r in got)
+        assert sum(r["is_open"] for r in got) == len({r["source_file_id"] for r in got})
+
+
+def test_fold_one_long_run_and_empty(spark):
+    rows = [(i, 0, "s", 1, None, "/p", 1, 0, i, i, f"w{i:03d}", "c") for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert [r["text"].count("w") for r in chunks.fold(df).collect()] == [200]
+    assert chunks.fold(df.limit(0)).count() == 0
+    assert list(chunks.pieces("aéé", 4)) == ["aé", "é"]
