@@ -263,7 +263,7 @@ def disclosure(scanned: DataFrame) -> DataFrame:
     )
     seen = scanned.filter("what = 'term'").groupBy(F.col("given").alias("term")).agg(F.sum("n").alias("n"), F.sum("n_mail").alias("mail"))
     both = worth.join(seen, "term").withColumn("told", F.col("worth") + F.least("mail", "framed"))
-    whole = both.agg((F.sum("told") / F.sum("n")).alias("usual"))
+    whole = both.agg(F.sum("told").alias("all_told")).join(seen.agg(F.sum("n").alias("all_n"))).select((F.col("all_told") / F.col("all_n")).alias("usual"))
     share = F.least(F.lit(1.0), F.col("told") / F.col("n"))
     bits = F.log2(share / F.col("usual"))
     return (

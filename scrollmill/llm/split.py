@@ -76,19 +76,19 @@ def atoms(text: str, room: int) -> list[tuple[int, int, int]]:
 def merge(segments: list[tuple[int, int, int]], room: int) -> list[tuple[int, int]]:
     """(end, level at its end) of the pieces after merging weakest boundaries first within `room`.
 
-    Of equally weak boundaries the one with the smaller sum of sides goes first, then the earlier.
+    Of equally weak boundaries the earlier goes first, so that pieces fill up from the start.
     """
     n = len(segments)
     size = [s for _, s, _ in segments]
     right = [*range(1, n), -1]
     left = [-1, *range(n - 1)]
     alive = [True] * n
-    heap = [(-segments[i][2], size[i] + size[i + 1], i) for i in range(n - 1)]
+    heap = [(-segments[i][2], i, size[i] + size[i + 1]) for i in range(n - 1)]
     heapq.heapify(heap)
     end = [e for e, _, _ in segments]
     level = [v for _, _, v in segments]
     while heap:
-        _, total, i = heapq.heappop(heap)
+        _, i, total = heapq.heappop(heap)
         j = right[i] if alive[i] else -1
         if j < 0 or size[i] + size[j] != total or total > room:
             continue
@@ -96,10 +96,10 @@ def merge(segments: list[tuple[int, int, int]], room: int) -> list[tuple[int, in
         right[i] = right[j]
         if right[i] >= 0:
             left[right[i]] = i
-            heapq.heappush(heap, (-level[i], total + size[right[i]], i))
+            heapq.heappush(heap, (-level[i], i, total + size[right[i]]))
         if left[i] >= 0:
             k = left[i]
-            heapq.heappush(heap, (-level[k], size[k] + total, k))
+            heapq.heappush(heap, (-level[k], k, size[k] + total))
     return [(end[i], level[i]) for i in range(n) if alive[i]]
 
 
