@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scrollmill.session import once, spread
+
 CLAUDE, CODEX = 0, 1
 #: Records above this size are malformed.
 MOST_BYTES = 4 << 20
@@ -46,13 +48,16 @@ def instant(text: Column) -> Column:
     return F.when(read >= F.timestamp_seconds(F.lit(0)), read)
 
 
-def text_of(content: Column) -> Column:
-    """Text of a content value: a string itself, of blocks the shown texts by lines, else null."""
-    blocks = F.try_variant_get(content, "$", "array<variant>")
+def text_of(content: Column, blocks: Column) -> Column:
+    """Text of a content value: a string itself, of `blocks` the shown texts by lines, else null.
+
+    `blocks` is the content as an array, null if it is none; it is asked first, as telling the
+    type of a large value costs more.
+    """
     texts = F.transform(
         F.filter(blocks, lambda b: string(b, "$.type").isin(*_SHOWN) & string(b, "$.text").isNotNull()), lambda b: string(b, "$.text")
     )
-    return F.when(is_type(content, "STRING"), string(content)).when(is_type(content, "ARRAY") & (F.size(texts) > 0), F.array_join(texts, "\n"))
+    return F.when(blocks.isNotNull(), F.when(F.size(texts) > 0, F.array_join(texts, "\n"))).otherwise(string(content))
 
 
 def branch_name(text: Column) -> Column:
@@ -74,7 +79,7 @@ def repository_label(url: Column) -> Column:
 
 def parse(records: DataFrame) -> DataFrame:
     """`records` (agent, line, …) with `v`, the parsed object; null for malformed or oversized lines."""
-    return records.withColumn("v", F.when(F.octet_length("line") <= MOST_BYTES, F.try_parse_json("line")))
+    return once(spread(records), "v", F.when(F.octet_length("line") <= MOST_BYTES, F.try_parse_json("line")))
 
 
 def _either(v: Column, *paths: str) -> Column:
@@ -110,35 +115,39 @@ def events(records: DataFrame) -> DataFrame:
     out; of the other, mirrors, tool output, other roles, and assistant messages that are not
     meant for the user. Blank texts are no events. Malformed lines and null agents give none.
     """
-    parsed = parse(records).filter("v is not null")
     v = F.col("v")
-    kind = string(v, "$.type")
+    is_claude = F.col("agent") == CLAUDE
+    parsed = once(parse(records).filter("v is not null"), "_payload", F.coalesce(F.when(~is_claude, get(v, "$.payload")), v))
+    payload = F.col("_payload")
     message = F.coalesce(get(v, "$.message"), v)
-    content = F.coalesce(get(message, "$.content"), message)
-    blocks = F.try_variant_get(content, "$", "array<variant>")
-    tools = is_type(content, "ARRAY") & (F.size(blocks) > 0) & F.forall(blocks, lambda b: F.coalesce(string(b, "$.type") == "tool_result", F.lit(False)))
+    spoken_of = F.when(is_claude, F.coalesce(get(message, "$.content"), message)).otherwise(F.coalesce(get(payload, "$.content"), get(v, "$.content")))
+    parsed = once(parsed, "_content", spoken_of)
+    parsed = once(parsed, "_blocks", F.try_variant_get("_content", "$", "array<variant>"))
+    parsed = once(parsed, "_type", string(v, "$.type"))
+    content, blocks, kind = F.col("_content"), F.col("_blocks"), F.col("_type")
+
+    tools = blocks.isNotNull() & (F.size(blocks) > 0) & F.forall(blocks, lambda b: F.coalesce(string(b, "$.type") == "tool_result", F.lit(False)))
     hidden = boolean(F.coalesce(get(v, "$.isMeta"), get(v, "$.is_meta")), "$")
     claude = kind.isin("user", "assistant") & ~hidden & ~((kind == "user") & tools)
 
-    payload = F.coalesce(get(v, "$.payload"), v)
     role = string(F.coalesce(get(v, "$.role"), get(payload, "$.role")))
     spoken = ((kind == "response_item") & (string(payload, "$.type") == "message")) | (kind == "message")
     channel = string(F.coalesce(get(payload, "$.channel"), get(v, "$.channel")))
     recipient = string(F.coalesce(get(payload, "$.recipient"), get(v, "$.recipient")))
     shown = F.coalesce(channel.isin("final", "commentary"), F.lit(True)) & F.coalesce(recipient == "all", F.lit(True))
     codex = spoken & role.isin("user", "assistant") & ((role == "user") | shown)
-    said = F.coalesce(get(payload, "$.content"), get(v, "$.content"))
 
-    is_claude = F.col("agent") == CLAUDE
-    speaker = F.when(is_claude & claude, kind).when((F.col("agent") == CODEX) & codex, role)
+    speaker = F.when(is_claude, F.when(claude, kind)).when((F.col("agent") == CODEX) & codex, role)
     return (
-        parsed.select(
+        once(parsed, "_speaker", speaker)
+        .filter("_speaker is not null")
+        .select(
             *records.columns,
-            F.when(speaker == "user", 0).when(speaker == "assistant", 1).alias("kind"),
-            non_blank(F.when(is_claude, text_of(content)).otherwise(text_of(said))).alias("text"),
+            F.when(F.col("_speaker") == "user", 0).otherwise(1).alias("kind"),
+            non_blank(text_of(content, blocks)).alias("text"),
             instant(string(v, "$.timestamp")).alias("timestamp"),
         )
-        .filter("kind is not null and text is not null")
+        .filter("text is not null")
     )
 
 

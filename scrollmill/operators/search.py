@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scrollmill.functions.tokens import edits, spans, token_list, tokens
 from scrollmill.plans.query_language import MOST_NEAR, Node, Phrase, Widening, expression, lenient, parse, phrases, widenable
+from scrollmill.session import once, spread
 
 MOST_RESULTS = 1000
 #: Tokens in a snippet, and the sign where text is left out.
@@ -27,7 +28,7 @@ _SOURCE = ["source_path", "source_file_id", "source_generation", "source_start",
 
 def with_tokens(chunks: DataFrame) -> DataFrame:
     """`chunks` with `tokens` of the text; the form in which a store keeps them."""
-    return chunks if "tokens" in chunks.columns else chunks.withColumn("tokens", tokens(F.col("text")))
+    return chunks if "tokens" in chunks.columns else once(spread(chunks), "tokens", tokens(F.col("text")))
 
 
 def frequency(phrase: Phrase, toks: Column) -> Column:

@@ -60,3 +60,14 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     sc.addPyFile(target)
     sc._scrollmill_shipped = True
+
+
+def once(df: DataFrame, name: str, value) -> DataFrame:
+    """`df` with column `name`, computed once a row.
+
+    The optimizer writes a plain column's expression into every place that reads it; a costly one
+    read many times is kept apart from its readers by a generator of one row.
+    """
+    from pyspark.sql import functions as F
+
+    return df.select("*", F.explode(F.array(value)).alias(name))
