@@ -9,11 +9,14 @@ around a chain is aligned with the item, and the words of the item that it holds
 equal words and single replaced ones between them. A document holds an item if these are a third
 of the item's own words or more.
 
-Items may be built from few patterns, and so may texts that leak nothing. A seed that several
-items have says nothing about one of them and starts no chain. A word of an item that stands in
-no pair of neighbours common among items is one of its telling words (in items without patterns
-every word is); words count as held only where most telling words around them are equal. A
-sentence that many items have is no item's own words.
+Items may be built from few patterns, and so may texts that leak nothing. A word of an item that
+stands in no pair of neighbours common among items is one of its telling words (in items without
+patterns every word is); words count as held only where most telling words around them are equal.
+A seed without telling words that several items have says nothing about one of them and starts no
+chain, unless the item has few other seeds. A sentence that many items have is no item's own words.
+
+Items of equal words are one class, reported under each of its ids; near-equal classes are one
+family, and what items share is counted by families, so variants of one item don't count as many.
 
 The items are a stated query set against all rows: their hash table goes to every task in blocks
 of bounded size (`BLOCK_WORDS`), so one pass over the documents is made for each block, and
@@ -22,6 +25,7 @@ nothing of the documents is shuffled.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
@@ -30,6 +34,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from scrollmill.llm.words import codes, words
@@ -39,12 +44,16 @@ from scrollmill.session import spread
 MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 3, 5), (0, 2, 3, 5), (0, 2, 4, 5), (0, 1, 4, 5))
 #: Share of an item's own words that a document must hold.
 LEAST_SHARE = 1 / 3
-#: Items that may share a sentence or a seed, as a share of all items, before it is nobody's own.
+#: Families that may share a sentence or a seed, as a share of all, before it is nobody's own.
 SHARED = 0.01
 #: Most words between two hits of one chain, and by how much their diagonals may differ.
 GAP, DRIFT = 8, 2
-#: Items that may share a pair of neighbours, as a share of all items, before it is a pattern's.
+#: Families that may share a pair of neighbours, as a share of all, before it is a pattern's.
 PATTERN = 0.05
+#: Similarity of the four-word runs of two items from which they are variants of one.
+ALIKE = 0.8
+#: Share of its own seeds below which an item keeps those that other items have too.
+LEAST_SEEDS = 0.5
 #: Telling words nearest to a word of which most must be equal.
 AROUND = 6
 #: Words by which an aligned passage may be longer than the item at either end.
@@ -74,11 +83,11 @@ def seeds(code: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 class Index:
     """The seeds of a block of items, their own and their telling words."""
 
-    def __init__(self, items: list[tuple[int, list[list[str]]]], common: set, patterns: set, least: int) -> None:
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[list[int], int, list[list[str]]]], common: set, patterns: set, least: int) -> None:
+        self.ids = [i for i, _, _ in items]
         self.code, self.own, self.telling, self.bounds = [], [], [], []
         entries: list[list[tuple[int, int, int]]] = [[] for _ in MASKS]
-        for k, (_, sentences) in enumerate(items):
+        for k, (_, _, sentences) in enumerate(items):
             tokens, own, telling, bounds = [], [], [], []
             for s in sentences:
                 bounds.append(len(tokens))
@@ -95,11 +104,17 @@ class Index:
                     if self.own[-1][[pos + o for o in mask]].all():
                         entries[m].append((h, k, pos))
         self.tables = []
-        for rows in entries:
+        total, kept_of, keeps = Counter(), Counter(), []
+        for mask, rows in zip(MASKS, entries):
             of = defaultdict(set)
             for h, k, _ in rows:
-                of[h].add(k)
-            kept = sorted(r for r in rows if len(of[r[0]]) <= least)
+                of[h].add(items[k][1])
+            keeps.append([len(of[h]) <= least or bool(self.telling[k][[pos + o for o in mask]].any()) for h, k, pos in rows])
+            for (_, k, _), keep in zip(rows, keeps[-1]):
+                total[k] += 1
+                kept_of[k] += keep
+        for rows, keep in zip(entries, keeps):
+            kept = sorted(r for r, own in zip(rows, keep) if own or kept_of[r[1]] < LEAST_SEEDS * total[r[1]])
             self.tables.append(
                 (np.array([r[0] for r in kept], np.uint64), np.array([r[1] for r in kept], np.int32), np.array([r[2] for r in kept], np.int32))
             )
@@ -139,57 +154,102 @@ def chains(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     return [tuple(c) for c in open_]
 
 
-def verify(code: np.ndarray, index: Index, k: int, hits: list[tuple[int, int, int]]) -> int:
-    """Own words of item `k` that the passages around the chains of `hits` hold.
+def verify(code: np.ndarray, index: Index, k: int, hits: list[tuple[int, int, int]], least: float = 0) -> int:
+    """Own words of item `k` that the passages around the chains of `hits` hold; 0 if under `least`.
 
     Each sentence that a chain meets is aligned by itself with the stretch of the document where
-    the chain puts it, so sentences may come in any order.
+    the chain puts it, so sentences may come in any order. Nothing is aligned if the sentences met
+    have fewer own words than `least`.
     """
     item, own, telling, bounds = index.code[k], index.own[k], index.telling[k], index.bounds[k]
     held = np.zeros(len(item), bool)
     done = set()
-    for first, last, p, q in chains(hits):
-        for x in range(bisect_right(bounds, p) - 1, bisect_right(bounds, q + MASKS[-1][-1])):
+    chained = [(c, range(bisect_right(bounds, c[2]) - 1, bisect_right(bounds, c[3] + MASKS[-1][-1]))) for c in chains(hits)]
+    met = {x for _, xs in chained for x in xs}
+    if sum((bounds[x + 1] if x + 1 < len(bounds) else len(item)) - bounds[x] for x in met if own[bounds[x]]) < least:
+        return 0
+    for (first, last, p, q), xs in chained:
+        for x in xs:
             lo, hi = bounds[x], bounds[x + 1] if x + 1 < len(bounds) else len(item)
             start, end = max(0, first - (p - lo) - SLACK), min(len(code), last + (hi - q) + SLACK)
             if not own[lo] or start >= end or (x, start // SLACK) in done:
                 continue
             done.add((x, start // SLACK))
+            tells = np.flatnonzero(telling[lo:hi])
+            # of the telling words nearest to each word: how many are there, how many equal
+            width = min(AROUND, len(tells))
+            words_, passage = item[lo:hi].tolist(), code[start:end].tolist()
+            there = set(passage)
+            if sum(words_[i] in there for i in tells.tolist()) < max(2, width // 2 + 1):
+                continue
             n = hi - lo
             equal, joined, before = np.zeros(n, bool), np.zeros(n, bool), None
-            for i, j, size in SequenceMatcher(None, item[lo:hi].tolist(), code[start:end].tolist(), autojunk=False).get_matching_blocks():
+            for i, j, size in SequenceMatcher(None, words_, passage, autojunk=False).get_matching_blocks():
                 if before is not None and size and 0 < i - before[0] <= 2 and j - before[1] <= 3:
                     joined[before[0] : i] = True
                 equal[i : i + size] = True
                 before = (i + size, j + size)
-            tells = np.flatnonzero(telling[lo:hi])
-            if len(tells) < 2:
-                continue
-            # of the telling words nearest to each word: how many are there, how many equal
-            width = min(AROUND, len(tells))
             left = np.clip(np.searchsorted(tells, np.arange(n)) - width // 2, 0, len(tells) - width)
             right = np.concatenate([[0], np.cumsum(equal[tells])])
             same = right[left + width] - right[left]
             held[lo:hi] |= (equal | joined) & (same >= 2) & (2 * same > width)
-    return int((held & own).sum())
+    n_held = int((held & own).sum())
+    return n_held if n_held >= least else 0
+
+
+def families(texts: list[list[str]]) -> list[int]:
+    """For each text (its words) the number of its family: texts alike by `ALIKE`, over any steps.
+
+    Exact: two sets so similar share one of the rarest of either, as many as they may differ by.
+    """
+    runs = [np.unique(seeds(codes(t), MASKS[0])) if len(t) >= 4 else np.array([xxhash.xxh64_intdigest(" ".join(t))], np.uint64) for t in texts]
+    known, count = np.unique(np.concatenate(runs), return_counts=True) if runs else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    parent = list(range(len(texts)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    having: defaultdict[int, list[int]] = defaultdict(list)
+    for x, r in enumerate(runs):
+        n = count[np.searchsorted(known, r)]
+        order = np.lexsort((r, n))[: len(r) - math.ceil(ALIKE * len(r) - 1e-9) + 1]
+        tried = set()
+        for h in r[order[n[order] > 1]].tolist():
+            for y in having[h]:
+                if y not in tried and top(x) != top(y):
+                    both = len(np.intersect1d(r, runs[y], assume_unique=True))
+                    if both >= ALIKE * (len(r) + len(runs[y]) - both):
+                        parent[top(x)] = top(y)
+                tried.add(y)
+            having[h].append(x)
+    return [top(x) for x in range(len(texts))]
 
 
 def blocks(items: DataFrame) -> Iterator[Index]:
     """The indexes of `items` (`item_id, item_text`), each over at most `BLOCK_WORDS` words.
 
-    Items are read as a stream of a partition at a time; sentences are counted over all of them.
+    Items are read as a stream of a partition at a time and folded into classes of equal words;
+    sentences are counted over all of them, by family.
     """
-    texts = [(r["item_id"], r["item_text"]) for r in items.select("item_id", "item_text").filter("item_id is not null").distinct().toLocalIterator()]
-    split = [(i, [w for s in _SENTENCE.split(t or "") if (w := words(s))]) for i, t in texts]
-    shared = Counter(s for _, ss in split for s in {tuple(s) for s in ss})
-    least = max(2, round(SHARED * len(split)))
+    texts = ((r["item_id"], r["item_text"]) for r in items.select("item_id", "item_text").filter("item_id is not null").distinct().toLocalIterator())
+    classes: dict[tuple, set[int]] = {}
+    for i, t in texts:
+        classes.setdefault(tuple(tuple(w) for s in _SENTENCE.split(t or "") if (w := words(s))), set()).add(i)
+    family = families([[w for s in ss for w in s] for ss in classes])
+    sentences: defaultdict[int, set[tuple]] = defaultdict(set)
+    for f, ss in zip(family, classes):
+        sentences[f].update(ss)
+    shared = Counter(s for ss in sentences.values() for s in ss)
+    least = max(2, round(SHARED * len(sentences)))
     common = {s for s, n in shared.items() if n > 2 * least}
-    pairs = Counter(x for _, ss in split for x in {x for s in ss if tuple(s) not in common for x in zip(s, s[1:])})
-    patterns = {x for x, n in pairs.items() if n > max(2 * least, PATTERN * len(split))}
+    pairs = Counter(x for ss in sentences.values() for x in {x for s in ss if s not in common for x in zip(s, s[1:])})
+    patterns = {x for x, n in pairs.items() if n > max(2 * least, PATTERN * len(sentences))}
     block, size = [], 0
-    for row in split:
-        block.append(row)
-        size += sum(map(len, row[1]))
+    for f, (ss, ids) in zip(family, classes.items()):
+        block.append((sorted(ids), f, [list(s) for s in ss]))
+        size += sum(map(len, ss))
         if size >= BLOCK_WORDS:
             yield Index(block, common, patterns, least)
             block, size = [], 0
@@ -236,9 +296,9 @@ def _search(handle, least_share: float):
                 rows = []
                 for (x, i), hits in groups.items():
                     own = int(index.own[i].sum())
-                    held = verify(code[x], index, i, hits)
+                    held = verify(code[x], index, i, hits, least_share * own)
                     if own and held >= least_share * own:
-                        rows.append((ids[first + x], index.ids[i], held, own, held / own))
+                        rows.extend((ids[first + x], item, held, own, held / own) for item in index.ids[i])
                 if rows:
                     c = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays(

@@ -49,5 +49,23 @@ def test_empty_null_and_blocks(spark, monkeypatch):
     assert leaks.leaks(d, spark.createDataFrame(tests, SCHEMA_I)).count() == 0
 
 
+def test_repeated_items_and_variants(spark):
+    tests = items(random.Random(7), 30)
+    body = lambda i: tests[i][1].split("words. ")[1]
+    # item 0 stands under five more ids, twice in other letter case; item 1 in five near-equal forms
+    tests += [(100 + k, tests[0][1].upper() if k > 2 else tests[0][1], "clash") for k in range(5)]
+    tests += [(200 + k, tests[1][1].replace("Two commits", f"Two patches{k}", 1), "clash") for k in range(5)]
+    got = run(spark, [body(0), body(1), body(2), ". ".join(body(1).split(". ")[2:])], tests)
+    same, alike = {0, *range(100, 105)}, {1, *range(200, 205)}
+    assert got == {(0, i) for i in same} | {(1, i) for i in alike} | {(2, 2)} | {(3, i) for i in alike}
+
+
+def test_passage_that_three_items_share(spark):
+    tests = items(random.Random(8), 30)
+    passage = " ".join(tests[5][1].split(". ")[1:4]) + "."
+    tests[6], tests[7] = (6, tests[6][1] + " " + passage, "clash"), (7, tests[7][1] + " " + passage, "clash")
+    assert {(0, 5), (0, 6), (0, 7)} <= run(spark, [passage], tests)
+
+
 def test_words():
     assert words("A <b>bo</b>ld [li­nk](http://x) café un-\nder \\u0041\\n&amp; саt") == ["a", "bold", "link", "cafe", "under", "a", "cat"]
