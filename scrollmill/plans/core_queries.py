@@ -16,6 +16,11 @@ def p1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.schema_tables(nested.flatten(table(spark, sf_dir, "raw_records")))
 
 
+def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all flat tables with their fields as JSON."""
+    return nested.flat_rows(table(spark, sf_dir, "raw_records"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = drift.changes(table(spark, sf_dir, "raw_records"), table(spark, sf_dir, "field_catalog"))
     return found.select("file_id", "change", "field_name").distinct()
@@ -29,7 +34,7 @@ def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unify(table(spark, sf_dir, "raw_records"), table(spark, sf_dir, "field_catalog"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p5_found, p5_schema, p5_unified)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_rows, p5_found, p5_schema, p5_unified)}
 
 # This reader of JSON lets a comma pass before a closing brace, so such lines are left out first.
 _NODES = r"""
