@@ -68,7 +68,8 @@ def classify(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     """`listing` (path and fingerprint) with `action` by the manifest: new, settled, append or check.
 
     Settled means that format, identity, times and size are as committed and all bytes were read;
-    such a file is not opened. `check` files have changed and are compared by their hashes.
+    such a file is not opened. The other actions are by the fingerprint alone: only `verify`, which
+    opens the files, decides whether an `append` or `check` file is read on or read anew.
     Files of the manifest that are gone keep their rows: absence removes nothing.
     """
     names = ["dev", "ino", "ctime", "ctime_nsec", "size", "modified"]
@@ -87,6 +88,59 @@ def classify(listing: DataFrame, manifest: DataFrame) -> DataFrame:
     return listing.join(old, "path", "left").select(listing["*"], action.alias("action"), F.col("m_committed_offset").alias("committed_offset"), F.col("m_generation").alias("generation"))
 
 
+def verify(listing: DataFrame, manifest: DataFrame) -> DataFrame:
+    """`path, action, start, generation, error`: what is to be read of each listed file.
+
+    `manifest` has, besides the columns of `classify`, `sampled_size` and `hashes` (`sample` at the
+    commit). A file is read on from its committed offset (`append`) only if identity and format
+    are the same, both ends of the sampled bytes have the same hashes, and it grew or is as it
+    was; else it is a `rebuild` from 0 under the next generation, whose old chunks are to be
+    removed. `settled` files are not opened; `unchanged` ones prove read to the end. A file that
+    changes while it is hashed is `deferred`, one that can't be read `failed`, both with `error`.
+    """
+    names = ["ctime", "ctime_nsec", "size", "modified"]
+    known = manifest.select(
+        "path", "sampled_size", "hashes", "checkpoint_format", *(F.col(c).alias(f"m_{c}") for c in ["dev", "ino", *names])
+    ).withColumn("known", F.lit(True))
+    unchanged = F.lit(True)
+    for c in names:
+        unchanged = unchanged & F.col(c).eqNullSafe(F.col(f"m_{c}"))
+    ready = F.col("known") & (F.col("dev") == F.col("m_dev")) & (F.col("ino") == F.col("m_ino")) & (F.col("checkpoint_format") == FORMAT)
+    rows = classify(listing, manifest).join(known, "path", "left").select(
+        "path", "action", "size", "committed_offset", "generation", "sampled_size", "hashes",
+        F.coalesce(ready & F.col("hashes").isNotNull() & (F.col("size") >= F.col("sampled_size")), F.lit(False)).alias("ready"),
+        unchanged.alias("unchanged"), F.coalesce(F.col("size") > F.col("m_size"), F.lit(False)).alias("grown"),
+    )
+
+    def decide(path, action, size, offset, generation, sampled, hashes, ready, unchanged, grown) -> tuple:
+        if action == "settled":
+            return path, action, offset, generation, None
+        try:
+            before = json_stat(path)
+            found = fingerprint(path)
+            if found is None:
+                return path, "failed", None, generation, "gone"
+            valid = ready and sample(path, sampled) == hashes
+            if json_stat(path) != before or found["size"] != size:
+                return path, "deferred", None, generation, "changed while it was read"
+        except OSError as e:
+            return path, "failed", None, generation, str(e)
+        if valid and unchanged and offset == size:
+            return path, "unchanged", offset, generation, None
+        if valid and (unchanged or grown) and offset is not None:
+            return path, "append", offset, generation, None
+        return (path, "new", 0, 0, None) if action == "new" else (path, "rebuild", 0, (generation or 0) + 1, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        for batch in batches:
+            out = [decide(*r) for r in zip(*(c.to_pylist() for c in batch.columns))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["path", "action", "start", "generation", "error"])
+
+    return rows.mapInArrow(run, "path string, action string, start bigint, generation bigint, error string")
+
+
 def ranges(path: str, start: int, end: int, size: int = RANGE) -> list[tuple[str, int, int]]:
     """(path, start, end) of at most `size` bytes, so that one large file is read by many tasks."""
     return [(path, at, min(at + size, end)) for at in range(start, end, size)]

@@ -104,3 +104,30 @@ def test_streaming_tail(spark, tmp_path):
         f.write("3\n4\n")
     (root / "b.jsonl").write_text(lines("new"))
     assert run() == [("1", 0), ("2", 2), ("33", 4), ("4", 7), ("new", 0)]
+
+
+def test_verify_by_hashes(spark, tmp_path):
+    names = ("grown", "same", "rewritten", "rewritten_longer", "settled", "shrunk", "new", "gone")
+    paths = {n: str(tmp_path / f"{n}.jsonl") for n in names}
+    for n in names[:6]:
+        with open(paths[n], "w") as f:
+            f.write(lines("first", "second"))
+    size = os.path.getsize(paths["same"])
+    committed = {n: (jsonl.fingerprint(paths[n]), jsonl.sample(paths[n], size)) for n in names[:6]}
+    for n, mode, text in (
+        ("grown", "a", lines("third")), ("rewritten", "r+", lines("FIRST", "second")), ("rewritten_longer", "r+", lines("FIRST", "second", "third")),
+        ("shrunk", "w", lines("first")), ("new", "w", lines("a")),
+    ):
+        with open(paths[n], mode) as f:
+            f.write(text)
+    stat = "dev bigint, ino bigint, ctime bigint, ctime_nsec bigint, size bigint, modified bigint"
+    old = [(paths[n], *f.values(), size if n != "same" else 6, 2, 4, size, h) for n, (f, h) in committed.items()]
+    manifest = spark.createDataFrame(old, f"path string, {stat}, committed_offset bigint, checkpoint_format int, generation bigint, sampled_size bigint, hashes string")
+    gone = dict.fromkeys(committed["same"][0], 1)
+    listing = spark.createDataFrame([(paths[n], *(jsonl.fingerprint(paths[n]) or gone).values()) for n in names], f"path string, {stat}")
+    got = {os.path.basename(r["path"])[:-6]: (r["action"], r["start"], r["generation"]) for r in jsonl.verify(listing, manifest).collect()}
+    assert got == {
+        "grown": ("append", size, 4), "same": ("append", 6, 4), "rewritten": ("rebuild", 0, 5), "rewritten_longer": ("rebuild", 0, 5),
+        "settled": ("settled", size, 4), "shrunk": ("rebuild", 0, 5), "new": ("new", 0, 0), "gone": ("failed", None, None),
+    }
+    assert jsonl.verify(listing.limit(0), manifest).count() == 0
