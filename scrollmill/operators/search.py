@@ -151,11 +151,11 @@ def near_words(terms: DataFrame, word: str) -> list[str] | None:
 
     # an edit of this measure is two of Levenshtein's at most, so this filter loses none
     close = terms.filter(starts).filter((F.col("term") == word) | (F.levenshtein("term", F.lit(word)) <= 2 * most))
-    measured = close.withColumn("d", distance("term")).filter("d is not null")
-    rows = measured.orderBy(F.col("d"), F.col("n_chunks").desc(), "term").select("term", "d").limit(MOST_NEAR + 64).collect()
-    if any(r["term"] == word for r in rows):
-        return None
-    return [r["term"] for r in rows if not r["term"].startswith(word)][:MOST_NEAR]
+    # longer forms of the word are no candidates; the word itself comes first, as nothing is closer
+    near = close.filter((F.col("term") == word) | ~F.col("term").startswith(word))
+    measured = near.withColumn("d", distance("term")).filter("d is not null")
+    found = [r["term"] for r in measured.orderBy(F.col("d"), F.col("n_chunks").desc(), "term").select("term").limit(MOST_NEAR).collect()]
+    return None if word in found else found
 
 
 @dataclass

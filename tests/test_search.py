@@ -86,3 +86,10 @@ def test_retry_priorities_limits(spark, chunks):
 def test_ranges_and_output(spark, chunks):
     assert search.ranges("Café alpha-Beta", ["alpha", "be*"]) == [(6, 11), (12, 16)]
     assert token_list("É́a_b") == ["ea", "b"] and search.frequency(Phrase(("a",)), search.tokens(search.F.lit("a"))) is not None
+
+
+def test_longer_forms_do_not_displace_near_words(spark):
+    forms = [(f"snapshot{i:02d}", 90) for i in range(100)]
+    terms = spark.createDataFrame([*forms, ("snapshat", 1), ("snapsh", 2)], "term string, n_chunks bigint")
+    assert search.near_words(terms, "snapshot") == ["snapshat", "snapsh"]
+    assert search.near_words(terms.union(spark.createDataFrame([("snapshot", 1)], terms.schema)), "snapshot") is None
