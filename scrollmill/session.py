@@ -71,3 +71,29 @@ def once(df: DataFrame, name: str, value) -> DataFrame:
     from pyspark.sql import functions as F
 
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of `df` take `most` bytes at most when sent whole; counts them.
+
+    Each field counts 16 bytes and texts their length besides, so the bound holds for plain columns.
+    """
+    from pyspark.sql import functions as F
+
+    texts = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    n = df.agg(sum(texts, F.count(F.lit(1)) * (16 * len(df.columns))).alias("n")).first()["n"]
+    return n <= most
+
+
+def attach(df: DataFrame, side: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:
+    """`df` left-joined with `side`, a written table that has each of `keys` once.
+
+    A side of proven small size is broadcast. Any other is repeated under `salts`, and the rows of
+    `df` are dealt over them by column `by`, so that no key gathers its rows in one task.
+    """
+    from pyspark.sql import functions as F
+
+    if small(side):
+        return df.join(F.broadcast(side), keys, "left")
+    wide = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(wide, [*keys, "_salt"], "left").drop("_salt")
