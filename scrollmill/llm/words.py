@@ -44,16 +44,17 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(plain(text)) if text else []
 
 
-_codes: dict[str, int] = {}
+class _Codes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
+
+
+_codes = _Codes()
 
 
 def codes(tokens: list[str]) -> np.ndarray:
     """A 64-bit code for each word, the same in every process."""
-    if len(_codes) > 1_000_000:
-        _codes.clear()
-    out = np.empty(len(tokens), np.uint64)
-    for i, t in enumerate(tokens):
-        if (c := _codes.get(t)) is None:
-            c = _codes[t] = xxhash.xxh64_intdigest(t)
-        out[i] = c
-    return out
+    return np.fromiter(map(_codes.__getitem__, tokens), np.uint64, len(tokens))
