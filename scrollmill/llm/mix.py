@@ -6,9 +6,11 @@ sources, whatever the number of documents: tokens flow from patterns to the quot
 sources, a first use costs nothing and each further use more than the one before (convex cost),
 so repetition is spread evenly and only used where it must be. Documents are then chosen by a
 seeded hash of the text: a pattern's flow to a source is a number of uses per text, whose whole
-part every text gets and whose fraction the texts get whose hash lies below a threshold.
+part every text gets and whose fraction the texts get whose hash lies in a stretch of a ring.
 
-Only sums by pattern, and by pattern and hash bucket, come to the driver.
+Which targets cannot be met is read off the same flow, there over documents rather than distinct
+texts: a target is unmet where less than its quota arrives. Only sums by pattern come to the
+driver, at most one for each set of target sources that occurs.
 """
 
 from __future__ import annotations
@@ -18,35 +20,40 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from scrollmill.functions.blank import trimmed
-from scrollmill.session import cut, spread
+from scrollmill.session import cut, small, spread
 
 #: Where the vocabulary file of the tokenizer lies, by default.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which this public vocabulary divides text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BUCKETS = 1024
+#: Parts of the ring of hashes: a fraction of uses is met to within half a part.
+BUCKETS = 4096
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str):
-    """The tokenizer of a `.tiktoken` vocabulary file, loaded once a worker."""
+def encoder(vocabulary: bytes):
+    """The tokenizer of a `.tiktoken` vocabulary (the file's bytes), made once a worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def with_tokens(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """`docs` without the text but with `n_tokens` and `digest` of it; null counts as no token."""
+    """`docs` without the text but with `n_tokens` and `digest` of it; null counts as no token.
+
+    The vocabulary file is read where the driver runs and sent to the workers.
+    """
+    with open(path, "rb") as f:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     others = [c for c in docs.columns if c != text]
     slim = spread(docs.select(*others, F.col(text).alias("_text"), F.md5(F.col(text).cast("binary")).alias("digest")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = encoder(path)
+        count = encoder(vocabulary.value)
         for batch in batches:
             at = batch.schema.get_field_index("_text")
             # of long texts a few at a time: the ids of a whole batch would be many times its size
@@ -105,7 +112,7 @@ class Flow:
         return self.arcs[arc ^ 1][1]
 
 
-def route(patterns: dict[tuple[str, ...], int], quotas: dict[str, float], repeats: dict[str, int]) -> dict:
+def route(patterns: dict[tuple[str, ...], int], quotas: dict[str, float], repeats: dict[str, int], least: float = 0.5) -> dict:
     """Tokens from each pattern to each of its sources: {(pattern, source): tokens}.
 
     A pattern's k-th use of its tokens costs k * k; a source takes at most its quota, and of one
@@ -121,7 +128,7 @@ def route(patterns: dict[tuple[str, ...], int], quotas: dict[str, float], repeat
             arcs[p, s] = flow.add(p, ("to", s), float(tokens) * repeats[s], 0.0)
     for s, q in quotas.items():
         flow.add(("to", s), "sink", float(q), 0.0)
-    flow.run("source", "sink")
+    flow.run("source", "sink", least)
     return {key: flow.sent(i) for key, i in arcs.items()}
 
 
@@ -164,19 +171,17 @@ class Mix:
         return share * self.total
 
     def unmet(self) -> list[str]:
-        """Targets that cannot be met: the greatest flow from a source's documents falls short of its quota.
+        """Targets at which less than the quota arrives, in their order.
 
-        With one source the flow is a single path: its documents' tokens times the cap.
+        Every document belongs to one source and may be used as often as that one allows, so each
+        target has a pattern of its own here: repeated texts count under each id, and a source
+        written twice is judged twice.
         """
-        out = []
-        for name, key, share, cap in self.targets:
-            have = self.sums.get(key, (0, 0))[0]
-            flow = Flow()
-            flow.add("source", key or "", float(have) * cap, 0.0)
-            flow.add(key or "", "sink", self.quota(share), 0.0)
-            if have * cap < self.quota(share) and flow.run("source", "sink", 0.0) < self.quota(share):
-                out.append(name)
-        return out
+        patterns = {(str(i),): self.sums.get(key, (0, 0))[0] for i, (_, key, _, _) in enumerate(self.targets)}
+        quotas = {str(i): self.quota(share) for i, (_, _, share, _) in enumerate(self.targets)}
+        sent = route(patterns, quotas, {str(i): cap for i, (_, _, _, cap) in enumerate(self.targets)}, least=1e-6)
+        short = lambda i: sent.get(((str(i),), str(i)), 0.0) < quotas[str(i)] - max(1e-5, 1e-12 * self.total)
+        return [name for i, (name, _, _, _) in enumerate(self.targets) if short(i)]
 
     def selection(self) -> DataFrame:
         """The mixture: `source, doc_id, n_tokens, repeats`, a row per text and source that uses it."""
@@ -191,40 +196,42 @@ class Mix:
         member = own.groupBy("digest").agg(
             F.concat_ws("\x1f", F.array_sort(F.collect_set("source"))).alias("pattern"), F.max("n_tokens").alias("n_tokens")
         )
-        per = member.withColumn("bucket", bucket).groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("t")).collect()
-        tokens: dict = {}
-        by_bucket: dict = {}
-        for r in per:
-            p = tuple(r["pattern"].split("\x1f"))
-            tokens[p] = tokens.get(p, 0) + r["t"]
-            by_bucket.setdefault(p, [0] * BUCKETS)[r["bucket"]] += r["t"]
+        ring = cut(member.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("t")))
+        tokens = {tuple(r["pattern"].split("\x1f")): r["t"] for r in ring.groupBy("pattern").agg(F.sum("t").alias("t")).collect()}
         flows = route(tokens, quotas, caps)
         rows = []
         for p, total in tokens.items():
             start = 0.0
             for s in p:
                 uses = flows[p, s] / total if total else 0.0
-                whole, part = int(uses), uses - int(uses)
-                # the fractions of a pattern's sources take turns around the ring of buckets
-                lo, run, at = int(start * BUCKETS) % BUCKETS, 0, 0
-                while at < BUCKETS and run + by_bucket[p][(lo + at) % BUCKETS] / 2 < part * total:
-                    run += by_bucket[p][(lo + at) % BUCKETS]
-                    at += 1
-                rows.append(("\x1f".join(p), s, whole, lo, at))
-                start += at / BUCKETS
-        plan = self.spark.createDataFrame(rows, "pattern string, source string, whole int, lo int, run int")
-        chosen = own.join(member.select("digest", "pattern"), "digest").join(F.broadcast(plan), ["pattern", "source"])
-        extra = F.when(F.pmod(bucket - F.col("lo"), F.lit(BUCKETS)) < F.col("run"), 1).otherwise(0)
-        return chosen.withColumn("repeats", F.col("whole") + extra).filter("repeats > 0").select("source", "doc_id", "n_tokens", "repeats")
+                # the fractions of a pattern's sources take turns around the ring
+                rows.append(("\x1f".join(p), s, int(uses), start % 1.0 * total, (uses - int(uses)) * total, float(total or 1)))
+                start += uses - int(uses)
+        plan = self.spark.createDataFrame(rows, "pattern string, source string, whole int, lo double, run double, total double")
+        # a pattern has at most BUCKETS rows here
+        middle = F.sum("t").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("t") / 2
+        placed = ring.select("pattern", "bucket", middle.alias("middle")).join(plan, "pattern")
+        extra = F.when(F.pmod(F.col("middle") - F.col("lo"), F.col("total")) < F.col("run"), 1).otherwise(0)
+        uses = cut(placed.select("pattern", "source", "bucket", (F.col("whole") + extra).alias("repeats")).filter("repeats > 0"))
+        chosen = own.join(member.select("digest", "pattern"), "digest").withColumn("bucket", bucket)
+        return chosen.join(F.broadcast(uses) if small(uses) else uses, ["pattern", "source", "bucket"]).select("source", "doc_id", "n_tokens", "repeats")
 
     def shares(self) -> DataFrame:
-        """`source, target_share, tokens, n_texts, actual_share, can_be_met` of each target."""
-        got = {r["source"]: r for r in self.selection().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t"), F.count(F.lit(1)).alias("n")).collect()}
+        """`source, target_share, quota, tokens, n_texts, actual_share, error, can_be_met, is_met` of each target.
+
+        `tokens` is what the selection uses, `error` the actual share less the target. `can_be_met`
+        counts repeated texts under each id, as `unmet` does; the selection uses each distinct text
+        at most `max_repeats` times, so it `is_met` (within half a percent of the quota, or one ring
+        part) only if distinct texts suffice.
+        """
+        uses = self.selection().groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("t"), F.count(F.lit(1)).alias("n"))
+        got = {r["source"]: r for r in uses.collect()}
         whole = sum(r["t"] or 0 for r in got.values())
         unmet = set(self.unmet())
         rows = []
         for name, key, share, _ in self.targets:
             t, n = (got[key]["t"] or 0, got[key]["n"]) if key in got else (0, 0)
-            rows.append((name, share, t, n, t / whole if whole else 0.0, name not in unmet))
-        ddl = "source string, target_share double, tokens bigint, n_texts bigint, actual_share double, can_be_met boolean"
+            actual, quota = t / whole if whole else 0.0, self.quota(share)
+            rows.append((name, share, quota, t, n, actual, actual - share, name not in unmet, t >= quota * (1 - max(0.005, 1 / BUCKETS))))
+        ddl = "source string, target_share double, quota double, tokens bigint, n_texts bigint, actual_share double, error double, can_be_met boolean, is_met boolean"
         return self.spark.createDataFrame(rows, ddl)

@@ -31,6 +31,21 @@ def test_empty(spark):
     d, t = frames(spark, [("x", "a")], [("a", 1.0, 1)])
     assert mix.Mix(d.limit(0), t).unmet() == [] and mix.Mix(d, t.limit(0)).unmet() == []
     assert mix.Mix(d.limit(0), t).selection().count() == 0
+    d, t = frames(spark, [("", "a"), (None, "a"), ("x", "b")], [("a", 0.5, 2), ("b", 0.5, 0), (None, 0.0, 1)])
+    plan = mix.Mix(d, t)
+    assert plan.unmet() == ["a", "b"] and plan.selection().count() == 0
+    assert [r["is_met"] for r in plan.shares().collect()] == [False, False, True]
+
+
+def test_repeated_texts_and_errors(spark):
+    """Copies count under each id for what can be met, but one text is used no oftener than allowed."""
+    docs = [("one text of some length", "a")] * 50 + [(f"other text {i} of the rest", "b") for i in range(1500)]
+    d, t = frames(spark, docs, [("A", 0.01, 1), (" b", 0.3, 2), ("a", 0.9, 1)])
+    plan = mix.Mix(d, t)
+    assert plan.unmet() == ["a"]
+    got = plan.shares().collect()
+    assert got[0]["can_be_met"] and not got[0]["is_met"] and got[1]["is_met"]
+    assert all(abs(r["error"] - (r["actual_share"] - r["target_share"])) < 1e-12 for r in got)
 
 
 def brute(patterns, quotas, repeats):
