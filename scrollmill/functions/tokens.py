@@ -86,6 +86,10 @@ def edits(a: str, b: str, most: int) -> int | None:
     return d if (d := rows[-1][-1]) <= most else None
 
 
+#: Control characters but line feed and tab.
+CONTROLS = re.compile(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]")
+
+
 def clean_controls(text: Column) -> Column:
     """Control characters but line feed and tab as U+FFFD, for reports and previews."""
     return F.regexp_replace(text, r"[\p{Cc}&&[^\n\t]]", "�")

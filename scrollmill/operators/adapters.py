@@ -14,6 +14,8 @@ CLAUDE, CODEX = 0, 1
 #: Records above this size are malformed.
 MOST_BYTES = 4 << 20
 _SHOWN = ("text", "input_text", "output_text")
+#: Session facts of a record: the last of the first two counts, of the others the first.
+FACTS = ("native_id", "cwd", "at", "branch", "commit_hash", "repository_url", "repository")
 
 
 def get(v: Column, path: str) -> Column:
@@ -108,23 +110,18 @@ def facts(parsed: DataFrame) -> DataFrame:
     )
 
 
-def events(records: DataFrame) -> DataFrame:
-    """User and assistant events: the columns of `records` and `kind` (0, 1), `text`, `timestamp`.
-
-    Of the one format, meta records, other types, and user records of tool results only are left
-    out; of the other, mirrors, tool output, other roles, and assistant messages that are not
-    meant for the user. Blank texts are no events. Malformed lines and null agents give none.
-    """
+def _with_speech(parsed: DataFrame) -> DataFrame:
+    """`parsed` with `_speaker` (null unless the record is an event), `_content` and `_blocks` of its text."""
     v = F.col("v")
     is_claude = F.col("agent") == CLAUDE
-    parsed = once(parse(records).filter("v is not null"), "_payload", F.coalesce(F.when(~is_claude, get(v, "$.payload")), v))
+    parsed = once(parsed, "_payload", F.coalesce(F.when(~is_claude, get(v, "$.payload")), v))
     payload = F.col("_payload")
     message = F.coalesce(get(v, "$.message"), v)
     spoken_of = F.when(is_claude, F.coalesce(get(message, "$.content"), message)).otherwise(F.coalesce(get(payload, "$.content"), get(v, "$.content")))
     parsed = once(parsed, "_content", spoken_of)
     parsed = once(parsed, "_blocks", F.try_variant_get("_content", "$", "array<variant>"))
     parsed = once(parsed, "_type", string(v, "$.type"))
-    content, blocks, kind = F.col("_content"), F.col("_blocks"), F.col("_type")
+    blocks, kind = F.col("_blocks"), F.col("_type")
 
     tools = blocks.isNotNull() & (F.size(blocks) > 0) & F.forall(blocks, lambda b: F.coalesce(string(b, "$.type") == "tool_result", F.lit(False)))
     hidden = boolean(F.coalesce(get(v, "$.isMeta"), get(v, "$.is_meta")), "$")
@@ -138,17 +135,40 @@ def events(records: DataFrame) -> DataFrame:
     codex = spoken & role.isin("user", "assistant") & ((role == "user") | shown)
 
     speaker = F.when(is_claude, F.when(claude, kind)).when((F.col("agent") == CODEX) & codex, role)
-    return (
-        once(parsed, "_speaker", speaker)
-        .filter("_speaker is not null")
-        .select(
-            *records.columns,
-            F.when(F.col("_speaker") == "user", 0).otherwise(1).alias("kind"),
-            non_blank(text_of(content, blocks)).alias("text"),
-            instant(string(v, "$.timestamp")).alias("timestamp"),
-        )
-        .filter("text is not null")
-    )
+    return once(parsed, "_speaker", speaker)
+
+
+def _event() -> list[Column]:
+    """`kind`, `text` and `timestamp` of a record with speech."""
+    return [
+        F.when(F.col("_speaker") == "user", 0).when(F.col("_speaker").isNotNull(), 1).alias("kind"),
+        F.when(F.col("_speaker").isNotNull(), non_blank(text_of(F.col("_content"), F.col("_blocks")))).alias("text"),
+        instant(string(F.col("v"), "$.timestamp")).alias("timestamp"),
+    ]
+
+
+def events(records: DataFrame) -> DataFrame:
+    """User and assistant events: the columns of `records` and `kind` (0, 1), `text`, `timestamp`.
+
+    Of the one format, meta records, other types, and user records of tool results only are left
+    out; of the other, mirrors, tool output, other roles, and assistant messages that are not
+    meant for the user. Blank texts are no events. Malformed lines and null agents give none.
+    """
+    spoken = _with_speech(parse(records).filter("v is not null")).filter("_speaker is not null")
+    return spoken.select(*records.columns, *_event()).filter("text is not null")
+
+
+def observed(records: DataFrame) -> DataFrame:
+    """A narrow row per record: its event, if it is one, and its session facts, without the line.
+
+    The columns of `records` but `line`, then `kind, text` (null unless it is an event),
+    `timestamp`, the columns of `facts`, and `is_malformed` (no complete JSON object, or too large).
+    """
+    found = facts(_with_speech(parse(records)))
+    return found.select(
+        *(c for c in records.columns if c != "line"), *_event(), *FACTS,
+        (~F.coalesce(is_type(F.col("v"), "OBJECT"), F.lit(False))).alias("is_malformed"),
+    )
 
 
 def session_facts(records: DataFrame) -> DataFrame:

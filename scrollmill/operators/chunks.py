@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scrollmill.functions.blank import trimmed
-from scrollmill.session import cut
+from scrollmill.session import attach, cut
 
 MOST_BYTES = 16384
 _FILE = ["agent", "source_file_id", "source_generation"]
@@ -49,7 +49,7 @@ def _row_type(df: DataFrame, names: list[str]) -> str:
     return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
 
 
-def fold(events: DataFrame, most: int = MOST_BYTES, final: bool = True) -> DataFrame:
+def fold(events: DataFrame, most: int = MOST_BYTES, final: bool = True, opened: DataFrame | None = None) -> DataFrame:
     """Chunks of `events` (the columns of normalized events).
 
     Columns: `agent, native_id, source_file_id, source_generation, source_path, ordinal, kind,
@@ -57,8 +57,12 @@ def fold(events: DataFrame, most: int = MOST_BYTES, final: bool = True) -> DataF
     time in milliseconds (null if that has none), the least start and the greatest end of its
     events; `ordinal` counts from 0 per file and generation. Null and blank texts, null kinds and
     other kinds than 0 and 1 are dropped; events repeated under one (file, generation, start,
-    kind, text) count once. Each file's last chunk `is_open`; without `final` it is left out.
+    kind, text) count once. Each file's last chunk `is_open`, unless it was closed by its size;
+    without `final` it is left out. `opened` (the result of `restored`) resumes files: their open
+    turns go on, and ordinals count from where they stood, so that events folded in any number of
+    calls give the same chunks as in one.
     """
+    plain = [c for c in _COLUMNS if c != "text"]
     rows = (
         events.filter("kind in (0, 1)")
         .withColumn("text", normalized(F.col("text")))
@@ -67,6 +71,8 @@ def fold(events: DataFrame, most: int = MOST_BYTES, final: bool = True) -> DataF
         .agg(F.min("source_end").alias("source_end"), F.min("timestamp").alias("timestamp"), F.min("source_path").alias("source_path"), F.first("text").alias("text"))
         .select(*_COLUMNS)
     )
+    if opened is not None:
+        rows = rows.unionByName(opened.filter("text is not null").select(*(F.col(c).cast(rows.schema[c].dataType).alias(c) for c in plain), "text"))
     order = [*_FILE, "source_start", "source_end", "kind", "native_id"]
     n = _tasks(events)
     ordered = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order))
@@ -75,9 +81,65 @@ def fold(events: DataFrame, most: int = MOST_BYTES, final: bool = True) -> DataF
     dealt = runs.repartition(n, *_FILE, "head").sortWithinPartitions(*_FILE, "head", "source_start", "source_end")
     chunks = _folded(dealt, most)
     placed = _numbered(chunks, n)
+    if opened is not None:
+        bases = cut(opened.select(*_FILE, F.col("next_ordinal").alias("_base")))
+        placed = attach(placed, bases, _FILE, by="source_start").withColumn("ordinal", F.col("ordinal") + F.coalesce("_base", F.lit(0))).select(*placed.columns)
     return placed if final else placed.filter("not is_open")
 
 
+#: The form of an open turn as text, and what is allowed in it.
+_TURN = (
+    "next_ordinal bigint, pending struct<session_id:struct<agent:string,native_id:string>,ordinal:bigint,timestamp_millis:bigint,"
+    "source_path:string,file_id:bigint,generation:bigint,start:bigint,end:bigint,text:string,kind:string>"
+)
+MOST_ORDINAL = 1_000_000_000
+_AGENTS, _KINDS = ("Claude", "Codex"), ("User", "Assistant")
+
+
+def saved(chunks: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """`agent, source_file_id, source_generation, open_turn_state`: where each file's folding stands, as JSON.
+
+    `chunks` is the result of `fold`; `before` the `restored` states it went on from, for files
+    without a chunk since.
+    """
+    name = lambda c, names: F.when(F.col(c) == 0, names[0]).otherwise(names[1])
+    turn = F.struct(
+        F.struct(name("agent", _AGENTS).alias("agent"), "native_id").alias("session_id"), "ordinal",
+        F.unix_millis("timestamp").alias("timestamp_millis"), "source_path", F.col("source_file_id").alias("file_id"),
+        F.col("source_generation").alias("generation"), F.col("source_start").alias("start"), F.col("source_end").alias("end"), "text",
+        name("kind", _KINDS).alias("kind"),
+    )
+    per = chunks.select(*_FILE, (F.col("ordinal") + F.when(F.col("is_open"), 0).otherwise(1)).alias("next"), F.when(F.col("is_open"), turn).alias("turn"))
+    if before is not None:
+        per = per.unionByName(before.select(*_FILE, F.col("next_ordinal").alias("next")), allowMissingColumns=True)
+    whole = per.groupBy(*_FILE).agg(F.max("next").alias("next_ordinal"), F.first("turn", ignorenulls=True).alias("pending"))
+    return whole.select(*_FILE, F.to_json(F.struct("next_ordinal", "pending"), {"ignoreNullFields": "false"}).alias("open_turn_state"))
+
+
+def restored(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """`files` (agent, source_file_id, source_generation, source_path, open_turn_state) with the turn that is open.
+
+    Adds `next_ordinal` (0 without a state), `is_valid`, and of a valid pending turn `native_id,
+    kind, timestamp, source_start, source_end, text` (null without one). A state is invalid if it is
+    no JSON of the form, its ordinal is too high or not the turn's own, its text is over twice the
+    limit, its bytes are in disorder, its time is negative, or its agent or kind is none.
+    """
+    none = F.coalesce("open_turn_state", F.lit("")) == ""
+    read = files.withColumn("_s", F.from_json("open_turn_state", _TURN))
+    p = F.col("_s.pending")
+    sound = (
+        (F.octet_length(p["text"]) <= 2 * max(4, most)) & (p["start"] <= p["end"]) & (p["ordinal"] == F.col("_s.next_ordinal"))
+        & (F.coalesce(p["timestamp_millis"], F.lit(0)) >= 0) & p["session_id"]["agent"].isin(*_AGENTS) & p["session_id"]["native_id"].isNotNull() & p["kind"].isin(*_KINDS)
+    )
+    valid = none | F.coalesce(F.col("_s.next_ordinal").between(0, MOST_ORDINAL) & (p.isNull() | F.coalesce(sound, F.lit(False))), F.lit(False))
+    kept = F.when(valid, p)
+    return read.select(
+        *files.columns, F.coalesce("_s.next_ordinal", F.lit(0)).cast("bigint").alias("next_ordinal"), valid.alias("is_valid"),
+        kept["session_id"]["native_id"].alias("native_id"), F.when(kept["kind"] == "User", 0).when(kept.isNotNull(), 1).alias("kind"),
+        F.timestamp_millis(kept["timestamp_millis"]).alias("timestamp"), kept["start"].alias("source_start"), kept["end"].alias("source_end"), kept["text"].alias("text"),
+    )
+
+
 def _key(r) -> tuple:
     return tuple(r[c] for c in _FILE)
 
@@ -139,8 +201,8 @@ def _marked(ordered: DataFrame, edges: dict[int, int]) -> DataFrame:
 
 
 def _folded(dealt: DataFrame, most: int) -> DataFrame:
-    names = [*_FILE, "native_id", "source_path", "head", "part", "kind", "timestamp", "source_start", "source_end", "text", "n_events"]
-    ddl = _row_type(dealt, [*_FILE, "native_id", "source_path"]) + ", head bigint, part int, kind int, timestamp timestamp, source_start bigint, source_end bigint, text string, n_events int"
+    names = [*_FILE, "native_id", "source_path", "head", "part", "kind", "timestamp", "source_start", "source_end", "text", "n_events", "is_full"]
+    ddl = _row_type(dealt, [*_FILE, "native_id", "source_path"]) + ", head bigint, part int, kind int, timestamp timestamp, source_start bigint, source_end bigint, text string, n_events int, is_full boolean"
     at = {c: i for i, c in enumerate([*_COLUMNS, "head"])}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -156,7 +218,7 @@ def _folded(dealt: DataFrame, most: int) -> DataFrame:
             def close(limit: bool) -> Iterator[tuple]:
                 whole = "\n".join(texts)
                 for k, text in enumerate(pieces(whole, most) if limit else [whole]):
-                    yield (*key[:4], open_[3], key[4], part + k, key[5], open_[0], open_[1], open_[2], text, len(texts))
+                    yield (*key[:4], open_[3], key[4], part + k, key[5], open_[0], open_[1], open_[2], text, len(texts), limit)
 
             for r in group:
                 if open_ is None:
@@ -183,7 +245,7 @@ def _folded(dealt: DataFrame, most: int) -> DataFrame:
 
 
 def _batch(out: list[tuple], names: list[str]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.timestamp("us", "UTC"), pa.int64(), pa.int64(), pa.string(), pa.int32()]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.timestamp("us", "UTC"), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
 
@@ -235,5 +297,6 @@ def _numbered(chunks: DataFrame, n: int) -> DataFrame:
     numbered = ordered.mapInArrow(run, _row_type(ordered, ordered.columns) + ", ordinal bigint, is_open boolean")
     return numbered.select(
         "agent", "native_id", "source_file_id", "source_generation", "source_path", "ordinal", "kind",
-        F.date_trunc("millisecond", "timestamp").alias("timestamp"), "source_start", "source_end", "text", "n_events", "is_open",
+        F.date_trunc("millisecond", "timestamp").alias("timestamp"), "source_start", "source_end", "text", "n_events",
+        (F.col("is_open") & ~F.col("is_full")).alias("is_open"),
     )

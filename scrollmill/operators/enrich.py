@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import subprocess
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 UUID = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
@@ -13,7 +15,7 @@ STATES = ("blocked", "error", "done", "working", "idle", "running")
 # Variables that would point Git at another repository.
 GIT_VARIABLES = (
     "GIT_DIR", "GIT_WORK_TREE", "GIT_INDEX_FILE", "GIT_OBJECT_DIRECTORY", "GIT_ALTERNATE_OBJECT_DIRECTORIES",
-    "GIT_COMMON_DIR", "GIT_NAMESPACE", "GIT_CEILING_DIRECTORIES", "GIT_DISCOVERY_ACROSS_FILESYSTEM", "GIT_PREFIX",
+    "GIT_COMMON_DIR", "GIT_NAMESPACE", "GIT_CEILING_DIRECTORIES", "GIT_QUARANTINE_PATH", "GIT_PREFIX",
 )
 
 
@@ -174,3 +176,38 @@ def newest_sessions(stored: DataFrame, arriving: DataFrame) -> DataFrame:
     """Upsert by (agent, native_id): an arriving row replaces the stored one whole, nulls too."""
     keys = ["agent", "native_id"]
     return stored.join(arriving.select(*keys).distinct(), keys, "left_anti").unionByName(arriving)
+
+
+_GIT = "root string, worktree string, branch string, commit string, url string"
+
+
+def git_contexts(sessions: DataFrame, ask: Callable[[str], dict] = observe) -> DataFrame:
+    """`cwd, live`: what `ask` says of each folder of `sessions`, asked once a folder, in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([(x.split()[0], pa.string()) for x in _GIT.split(", ")])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ask(c) for c in batch.column(0).to_pylist()], kind)], ["cwd", "live"])
+
+    return sessions.select("cwd").dropna().distinct().mapInArrow(run, f"cwd string, live struct<{_GIT.replace(' string', ':string')}>")
+
+
+def with_git(sessions: DataFrame, ask: Callable[[str], dict] | None) -> DataFrame:
+    """`sessions` with `repository_root, worktree, git_origin` (0 observed, 1 recorded) and `git_observed_at`.
+
+    What Git says now of a session's folder replaces what the transcript recorded, whole, if it
+    knows a root there; without `ask` nothing is observed.
+    """
+    recorded = F.struct(
+        F.lit(None).cast("string").alias("root"), F.lit(None).cast("string").alias("worktree"), F.col("branch"), F.col("commit_hash").alias("commit"), F.col("repository_url").alias("url")
+    )
+    known = F.coalesce("branch", "commit_hash", "repository_url").isNotNull()
+    seen = sessions.withColumn("live", F.lit(None).cast(f"struct<{_GIT.replace(' string', ':string')}>")) if ask is None else sessions.join(git_contexts(sessions, ask), "cwd", "left")
+    is_live = F.coalesce(F.col("live.root").isNotNull(), F.lit(False))
+    g = git_precedence(F.col("live"), F.lit(None).cast(f"struct<{_GIT.replace(' string', ':string')}>"), recorded)
+    done = seen.withColumn("g", g)
+    rest = [c for c in sessions.columns if c not in ("branch", "commit_hash", "repository_url")]
+    return done.select(
+        *rest, F.col("g.branch").alias("branch"), F.col("g.commit").alias("commit_hash"), F.col("g.url").alias("repository_url"), F.col("g.root").alias("repository_root"), F.col("g.worktree").alias("worktree"),
+        F.when(is_live, 0).when(known, 1).alias("git_origin"), F.when(is_live, F.current_timestamp()).alias("git_observed_at"), F.lit(None).cast("timestamp").alias("ended_at"),
+    )

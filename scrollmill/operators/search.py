@@ -8,21 +8,21 @@ role is asked for.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scrollmill.functions.tokens import edits, spans, token_list, tokens
-from scrollmill.plans.query_language import MOST_NEAR, Node, Phrase, Widening, expression, lenient, parse, phrases, widenable
+from scrollmill.operators import postings
+from scrollmill.operators.postings import Index
+from scrollmill.operators.ranking import counted, matches, score
+from scrollmill.plans.query_language import MOST_NEAR, Phrase, Widening, expression, lenient, parse, phrases, widenable
 from scrollmill.session import once, spread
 
 MOST_RESULTS = 1000
 #: Tokens in a snippet, and the sign where text is left out.
 SNIPPET, LEFT_OUT = 24, " … "
-K1, B = 1.2, 0.75
 _SOURCE = ["source_path", "source_file_id", "source_generation", "source_start", "source_end"]
 
 
@@ -41,30 +41,6 @@ def frequency(phrase: Phrase, toks: Column) -> Column:
     return F.regexp_count(F.concat(F.lit("\x1f"), F.array_join(toks, "\x1f"), F.lit("\x1f")), F.lit(f"(?<=\x1f)(?={wanted})"))
 
 
-def matches(tree, tf: dict[Phrase, Column]) -> Column:
-    """Whether a row satisfies the tree, given the frequency of each phrase."""
-    if isinstance(tree, Phrase):
-        return tf[tree] > 0 if tree.tokens else F.lit(False)
-    parts = [matches(p, tf) for p in tree.parts]
-    if tree.op == "NOT":
-        return parts[0] & ~reduce(lambda a, b: a | b, parts[1:])
-    return reduce((lambda a, b: a & b) if tree.op == "AND" else (lambda a, b: a | b), parts)
-
-
-def counted(tree, tf: dict[Phrase, Column], gate: Column | None = None) -> list[tuple[Phrase, Column]]:
-    """Each phrase with the frequency by which it counts in a row that matches the tree.
-
-    A phrase below an AND or NOT that the row does not satisfy (the row matched by another branch
-    of an OR) counts as absent.
-    """
-    if isinstance(tree, Phrase):
-        return [(tree, tf[tree] if gate is None else F.when(gate, tf[tree]).otherwise(0))] if tree.tokens else []
-    if tree.op != "OR":
-        own = matches(tree, tf)
-        gate = own if gate is None else gate & own
-    return [x for p in tree.parts for x in counted(p, tf, gate)]
-
-
 @dataclass
 class Statistics:
     """Rows, tokens, and rows with each phrase of an expression."""
@@ -85,25 +61,14 @@ def statistics(chunks: DataFrame, found: list[Phrase]) -> Statistics:
     return Statistics(row["n"], row["t"], {p: row[f"p{i}"] for i, p in enumerate(unique)})
 
 
-def idf(stats: Statistics, phrase: Phrase) -> float:
-    n = stats.having[phrase]
-    value = math.log((stats.rows - n + 0.5) / (n + 0.5)) if stats.rows > n or n == 0 else -1.0
-    return value if value > 0 else 1e-6
-
-
-def score(stats: Statistics, found: list[tuple[Phrase, Column]]) -> Column:
-    """BM25, negative: the least is best. Each phrase counts as often as it is in the expression."""
-    norm = K1 * (1 - B) + F.size("tokens") * (K1 * B * stats.rows / max(stats.tokens, 1))
-    terms = [tf * (idf(stats, p) * (K1 + 1)) / (tf + norm) for p, tf in found]
-    return -reduce(lambda a, b: a + b, terms)
-
-
-def hits(chunks: DataFrame, text: str, kind: int | None = None) -> DataFrame:
-    """All rows of `chunks` that satisfy the expression `text`, with `score`.
+def hits(chunks: DataFrame | Index, text: str, kind: int | None = None) -> DataFrame:
+    """All rows of `chunks` that satisfy the expression `text`, with `score`; of an index, of its narrow rows.
 
     `kind` (0 user, 1 assistant) filters rows after the statistics. An empty expression, or one
     without any token, has no hits. Null texts have no tokens and match nothing.
     """
+    if isinstance(chunks, Index):
+        return postings.hits(chunks, text, kind)
     tree = parse(text)
     found = phrases(tree) if tree else []
     source = with_tokens(chunks)
@@ -115,7 +80,8 @@ def hits(chunks: DataFrame, text: str, kind: int | None = None) -> DataFrame:
     kept = rows.filter(matches(tree, tf))
     if kind is not None:
         kept = kept.filter(F.col("kind") == kind)
-    return kept.withColumn("score", score(stats, counted(tree, tf))).drop(*(f"_tf{i}" for i in range(len(tf))))
+    value = score(F.lit(stats.rows), F.lit(stats.tokens), F.size("tokens"), {p: F.lit(n) for p, n in stats.having.items()}, counted(tree, tf))
+    return kept.withColumn("score", value).drop(*(f"_tf{i}" for i in range(len(tf))))
 
 
 _ORDER = ["score", "agent", "native_id", "ordinal", "chunk_id"]
@@ -126,8 +92,10 @@ def ranked(found: DataFrame, limit: int) -> DataFrame:
     return found.orderBy(*_ORDER).limit(max(0, min(limit, MOST_RESULTS)))
 
 
-def vocabulary(chunks: DataFrame) -> DataFrame:
+def vocabulary(chunks: DataFrame | Index) -> DataFrame:
     """`term, n_chunks, n_occurrences` of every token."""
+    if isinstance(chunks, Index):
+        return chunks.vocabulary()
     terms = with_tokens(chunks).select(F.explode("tokens").alias("term"), "chunk_id")
     per = terms.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n").alias("n_occurrences"))
@@ -160,49 +128,63 @@ def near_words(terms: DataFrame, word: str) -> list[str] | None:
 
 @dataclass
 class Outcome:
-    """Results in order, what was widened to get them, and how many lead by priority."""
+    """Results in order, and what was widened to get them."""
 
     results: DataFrame
     widened: list[Widening] = field(default_factory=list)
-    prioritized: int = 0
+
+    @property
+    def prioritized(self) -> int:
+        """How many lead by priority; counted when asked."""
+        return self.results.filter("grp is not null").count() if "grp" in self.results.columns else 0
+
+    def per_group(self) -> list[tuple[int, int]]:
+        """(group, how many results it leads with), in the order of the list."""
+        if "grp" not in self.results.columns:
+            return []
+        counted_ = self.results.filter("grp is not null").groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+        return [(r["grp"], r["n"]) for r in counted_.orderBy("grp").collect()]  # at most as many as results
 
     def approximation(self) -> str | None:
         return "; ".join(map(str, self.widened)) or None
 
 
-def search(chunks: DataFrame, query: str, limit: int = 50, kind: int | None = None, fallback: bool = True, priorities: DataFrame | None = None) -> Outcome:
+def search(chunks: DataFrame | Index, query: str, limit: int = 50, kind: int | None = None, fallback: bool = True, priorities: DataFrame | None = None) -> Outcome:
     """Ranked search for what a user typed.
 
     Only if the exact expression has no row (after the role filter) is it tried again with words
     that are not indexed widened to near ones. `priorities` (`agent, native_id, grp`) lifts the
     best chunk of each listed session to the front, lowest group first.
     """
-    source = with_tokens(chunks)
+    source = chunks if isinstance(chunks, Index) else with_tokens(chunks)
     text = expression(query)
     widened: list[Widening] = []
     if not query.strip() or limit <= 0:
         return Outcome(hits(source, "", kind))
     found = hits(source, text, kind)
     if fallback and widenable(query) and found.isEmpty():
-        terms = vocabulary(source).persist()
+        terms = vocabulary(source)
+        if not isinstance(source, Index):
+            terms = terms.persist()
         retry = lenient(query, lambda w: near_words(terms, w))
-        terms.unpersist()
+        if not isinstance(source, Index):
+            terms.unpersist()
         if retry is not None:
             found, widened = hits(source, retry[0], kind), retry[1]
             if found.isEmpty():
                 return Outcome(found)
     if priorities is None:
         return Outcome(ranked(found, limit), widened)
-    results = lifted(found, priorities, limit)
-    return Outcome(results, widened, results.filter("grp is not null").count())
+    return Outcome(lifted(found, priorities, limit, source.chunks if isinstance(source, Index) else None), widened)
 
 
-def lifted(found: DataFrame, priorities: DataFrame, limit: int) -> DataFrame:
+def lifted(found: DataFrame, priorities: DataFrame, limit: int, chunks: DataFrame | None = None) -> DataFrame:
     """Hits with the best chunk of each prioritized session first, then the rest, `limit` in all.
 
     The rest leaves out rows of the same source range as a lifted one: the parts of one long turn
     share it. Of several groups for a session the lowest counts; the first 1000 by group and
     session are taken. Columns of `found` and `grp`, null for the rest, and `place` from 0.
+    Narrow hits need `chunks`, which tells the source ranges of theirs.
     """
     cap = max(0, min(limit, MOST_RESULTS))
     groups = priorities.groupBy("agent", "native_id").agg(F.min("grp").alias("grp")).orderBy("grp", "agent", "native_id").limit(MOST_RESULTS)
@@ -211,7 +193,15 @@ def lifted(found: DataFrame, priorities: DataFrame, limit: int) -> DataFrame:
     first = best.select("r.*", "grp").orderBy("grp", "score", "agent", "native_id").limit(cap)
     # at most `cap` rows are lifted, so as many again are enough for the rest
     same = lambda c: F.col(f"x.{c}").eqNullSafe(F.col(f"l.{c}"))
-    rest = found.alias("x").join(F.broadcast(first.select(*_SOURCE).distinct().alias("l")), [same(c) for c in _SOURCE], "left_anti").orderBy(*_ORDER).limit(cap)
+    if chunks is None:
+        left = found.alias("x").join(F.broadcast(first.select(*_SOURCE).distinct().alias("l")), [same(c) for c in _SOURCE], "left_anti")
+    else:
+        # the ids of all parts of the lifted turns: a scan of narrow columns against `cap` rows
+        where = chunks.select("chunk_id", *_SOURCE)
+        own = where.join(F.broadcast(first.select("chunk_id")), "chunk_id").select(*_SOURCE).distinct()
+        parts = where.alias("x").join(F.broadcast(own.alias("l")), [same(c) for c in _SOURCE], "left_semi").select("chunk_id")
+        left = found.join(parts, "chunk_id", "left_anti")
+    rest = left.orderBy(*_ORDER).limit(cap)
     both = first.unionByName(rest.withColumn("grp", F.lit(None).cast(first.schema["grp"].dataType)))
     order = Window.orderBy(F.col("grp").isNull(), F.col("grp"), *_ORDER)
     # at most two thousand rows are left here, so one task may number them
@@ -219,7 +209,11 @@ def lifted(found: DataFrame, priorities: DataFrame, limit: int) -> DataFrame:
 
 
 def with_sessions(results: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Results with their session's provenance; a chunk whose session has no row is dropped."""
+    """Results with their session's provenance; a chunk whose session has no row is dropped.
+
+    Only the rows of the results' sessions are compared; results are as many as a limit allows.
+    """
+    sessions = sessions.join(F.broadcast(results.select("agent", "native_id").distinct()), ["agent", "native_id"], "left_semi")
     wanted = ["agent", "native_id", "cwd", "repository", "repository_root", "worktree", "branch", "commit_hash", "started_at", "git_origin", "repository_url"]
     newest = sessions.groupBy("agent", "native_id").agg(F.max_by(F.struct(*wanted[2:]), F.struct(F.coalesce("source_generation", F.lit(-1)), F.coalesce("source_end", F.lit(-1)))).alias("s"))
     return results.join(newest, ["agent", "native_id"]).select(results["*"], "s.*")

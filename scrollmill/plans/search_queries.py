@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scrollmill.functions.tokens import clean_controls, clean_terminal
-from scrollmill.operators import adapters, chunks, enrich, search
+from scrollmill.operators import adapters, chunks, enrich, postings, search
 from scrollmill.plans.query_language import Node, Phrase, expression, lenient, parse, phrases
-from scrollmill.session import table
+from scrollmill.session import shared_folder, table
 from scrollmill.sources import jsonl
 
 # What the search queries ask for.
@@ -30,9 +30,22 @@ MISSPELLED = "manfest jagged"
 
 
 
+_indexes: dict[tuple, postings.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> postings.Index:
+    """The index of the chunks under `sf_dir`: built once a session, and anew if the table's files changed."""
+    chunks_ = table(spark, sf_dir, "search_chunks")
+    files = chunks_.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(map(tuple, files)))
+    if key not in _indexes:
+        _indexes[key] = postings.build(chunks_, shared_folder(spark, "index"))
+    return _indexes[key]
+
+
 def _hits(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = search.hits(table(spark, sf_dir, "search_chunks"), expression(TYPED[name]), ROLES.get(name))
+        found = search.hits(index(spark, sf_dir), expression(TYPED[name]), ROLES.get(name))
         return found.select("chunk_id", F.round("score", 6).alias("score"))
 
     run.__name__ = name
@@ -40,12 +53,12 @@ def _hits(name: str):
 
 
 def search_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = search.search(table(spark, sf_dir, "search_chunks"), "watermark ledger", limit=50)
+    out = search.search(index(spark, sf_dir), "watermark ledger", limit=50)
     return out.results.select("chunk_id", F.round("score", 6).alias("score"))
 
 
 def search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = search.search(table(spark, sf_dir, "search_chunks"), MISSPELLED, limit=1000)
+    out = search.search(index(spark, sf_dir), MISSPELLED, limit=1000)
     return out.results.select("chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -56,29 +69,30 @@ def _priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_prioritized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = search.search(table(spark, sf_dir, "search_chunks"), "watermark", limit=200, priorities=_priorities(spark, sf_dir))
+    out = search.search(index(spark, sf_dir), "watermark", limit=200, priorities=_priorities(spark, sf_dir))
     return out.results.select("place", "chunk_id", "grp")
 
 
 def search_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the command line prints for a search: joined with sessions, snippets, marks."""
-    out = search.search(table(spark, sf_dir, "search_chunks"), "broken pipe", limit=50)
-    known = search.with_sessions(out.results, table(spark, sf_dir, "sessions"))
+    out = search.search(index(spark, sf_dir), "broken pipe", limit=50)
+    results = index(spark, sf_dir).with_chunks(out.results)
+    known = search.with_sessions(results, table(spark, sf_dir, "sessions"))
     return search.output_lines(search.with_snippets(known, expression("broken pipe")))
 
 
 def search_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = search.search(table(spark, sf_dir, "search_chunks"), "stack overfl*", limit=50)
-    marked = search.with_ranges(search.with_snippets(out.results, expression("stack overfl*")), ["stack", "overfl*"])
+    out = search.search(index(spark, sf_dir), "stack overfl*", limit=50)
+    marked = search.with_ranges(search.with_snippets(index(spark, sf_dir).with_chunks(out.results), expression("stack overfl*")), ["stack", "overfl*"])
     return marked.select("chunk_id", "snippet", F.to_json("marks").alias("marks"))
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.vocabulary(table(spark, sf_dir, "search_chunks"))
+    return search.vocabulary(index(spark, sf_dir))
 
 
 def near_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = search.vocabulary(table(spark, sf_dir, "search_chunks"))
+    terms = search.vocabulary(index(spark, sf_dir))
     found = search.near_words(terms, "ledgr") or []
     return spark.createDataFrame([(i, w) for i, w in enumerate(found)], "place int, term string")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,17 +29,25 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's `spark.checkpoint.dir`, else a local one.
+    """The folder for checkpoints: the one that `spark.checkpoint.dir` names.
 
-    A folder of our own is set only where the session names none, as in tests.
+    Where the session names none, as in tests, a local one is made; a cluster whose executors
+    would not share it is refused.
     """
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "scrollmill-checkpoints"))
     return shared or sc._jsc.sc().getCheckpointDir().get()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a written table beside the checkpoints."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written once to the checkpoint folder and read back, its lineage cut."""
     checkpoint_dir(df.sparkSession)

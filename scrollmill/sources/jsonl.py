@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 MOST_RECORD, SAMPLE, FORMAT = 4 << 20, 4096, 2
 #: Bytes that one task reads of a file at most: a large file is cut into ranges at line ends.
 RANGE = 64 << 20
+#: Bytes read at once of one record; records sent on at once.
+BLOCK, SENT = 1 << 20, 512
 
 
 def default_roots(agent: int, env: dict[str, str] | None = None) -> list[str]:
@@ -55,6 +57,26 @@ def fingerprint(path: str) -> dict[str, int] | None:
     return {"dev": s.st_dev, "ino": s.st_ino, "ctime": s.st_ctime_ns // 10**9, "ctime_nsec": s.st_ctime_ns % 10**9, "size": s.st_size, "modified": s.st_mtime_ns}
 
 
+STAT = "dev bigint, ino bigint, ctime bigint, ctime_nsec bigint, size bigint, modified bigint"
+
+
+def listing(spark: SparkSession, paths: list[tuple[int, str]]) -> DataFrame:
+    """`agent, path` and the fingerprint of each file, asked in tasks; null where a file is gone."""
+    if not paths:
+        return spark.createDataFrame([], f"agent int, path string, {STAT}")
+    named = spark.createDataFrame(paths, "agent int, path string").repartition(min(len(paths), spark.sparkContext.defaultParallelism), "path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stats = [fingerprint(p) or dict.fromkeys(_STAT_NAMES) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([s[n] for s in stats], pa.int64()) for n in _STAT_NAMES)], ["agent", "path", *_STAT_NAMES])
+
+    return named.mapInArrow(run, f"agent int, path string, {STAT}")
+
+
+_STAT_NAMES = [x.split()[0] for x in STAT.split(", ")]
+
+
 def sample(path: str, size: int) -> str:
     """SHA-256 of the first and last bytes of the file's first `size` bytes."""
     with open(path, "rb") as f:
@@ -122,7 +144,7 @@ def verify(listing: DataFrame, manifest: DataFrame) -> DataFrame:
                 return path, "failed", None, generation, "gone"
             valid = ready and sample(path, sampled) == hashes
             if json_stat(path) != before or found["size"] != size:
-                return path, "deferred", None, generation, "changed while it was read"
+                return path, "deferred", None, generation, CHANGED
         except OSError as e:
             return path, "failed", None, generation, str(e)
         if valid and unchanged and offset == size:
@@ -158,41 +180,67 @@ def records(path: str, start: int, end: int, stop: int) -> Iterator[tuple[int, i
         if start > 0:
             f.seek(start - 1)
             if f.read(1) != b"\n":
-                at += len(_rest(f, stop - at)[1])
+                at += _record(f, stop - at, 0)[1]
         f.seek(at)
         while at < end:
-            kept, whole = _rest(f, stop - at)
-            if not whole.endswith(b"\n"):
+            kept, length, whole = _record(f, stop - at)
+            if not whole:
                 return
-            yield at, at + len(whole) - 1, kept
-            at += len(whole)
+            yield at, at + length - 1, kept if length <= MOST_RECORD + 1 else None
+            at += length
+
 
+def _record(f, left: int, most: int = MOST_RECORD) -> tuple[bytes, int, bool]:
+    """(At most `most` bytes of the next record, its length with the line end, whether it has one).
 
-def _rest(f, left: int) -> tuple[bytes | None, bytes]:
-    line = f.readline(max(0, left))
-    return (line[:-1] if len(line) <= MOST_RECORD + 1 else None), line
+    The rest of a longer record is read a block at a time and dropped, so memory is bounded.
+    """
+    kept, length = bytearray(), 0
+    while left > length:
+        part = f.readline(min(BLOCK, left - length))
+        if not part:
+            break
+        if len(kept) < most:
+            kept += part[: most - len(kept)]
+        length += len(part)
+        if part.endswith(b"\n"):
+            return bytes(kept[: length - 1]), length, True
+    return bytes(kept), length, False
 
 
 _DDL = "source_path string, byte_start bigint, byte_end bigint, line string, n_malformed int, error string"
 
 
 def read(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
-    """Records of `files` (path, offset to start at, bytes at listing), read by range in parallel.
+    """`read_listed` of files given as (path, offset to start at, bytes at listing)."""
+    if not files:
+        return spark.createDataFrame([], _DDL)
+    return read_listed(spark.createDataFrame([(*f, json_stat(f[0])) for f in files], "path string, start bigint, size bigint, stat string"))
+
+
+def read_listed(files: DataFrame, most_tasks: int | None = None) -> DataFrame:
+    """Records of `files` (`path, start, size, stat`), read by range in parallel.
 
-    Columns `source_path, byte_start, byte_end, line, n_malformed, error`. A record too large or
-    not in UTF-8 has a null line and counts as malformed; a file that cannot be read, or that
-    changed while it was read, gives one row with its `error`, and no other file is affected.
+    `size` is the bytes at listing, `stat` the `json_stat` then. Columns `source_path, byte_start,
+    byte_end, line, n_malformed, error`. A record too large or not in UTF-8 has a null line and
+    counts as malformed; a file that cannot be read, or that changed while it was read, gives a row
+    with its `error` for each of its ranges, beside rows that then don't count; no other file is
+    affected. Records are sent on a few at a time, so a range is never held whole.
     """
-    todo = [(p, a, b, size, json_stat(p)) for p, offset, size in files for _, a, b in ranges(p, offset, size)]
-    if not todo:
-        return spark.createDataFrame([], _DDL)
-    tasks = min(len(todo), 8 * spark.sparkContext.defaultParallelism)
-    listed = spark.createDataFrame(todo, "path string, start bigint, stop bigint, size bigint, stat string").repartition(tasks, "path", "start")
+    begin = F.expr(f"explode(sequence(start, greatest(start, size - 1), {RANGE}L))")
+    listed = files.filter("size > start").select("path", begin.alias("start"), "size", "stat")
+    listed = listed.select("path", "start", F.least(F.col("start") + RANGE, "size").alias("stop"), "size", "stat")
+    tasks = max(1, min(most_tasks or 1 << 20, 8 * files.sparkSession.sparkContext.defaultParallelism))
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string()]
+    names = ["source_path", "byte_start", "byte_end", "line", "n_malformed", "error"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start, stop, size, stat in zip(*(c.to_pylist() for c in batch.columns)):
-                rows, error = [], None
+                rows, held, error = [], 0, None
                 try:
                     for a, b, data in records(path, start, stop, size):
                         try:
@@ -200,34 +248,26 @@ def read(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
                         except UnicodeDecodeError:
                             line = None
                         rows.append((path, a, b, line, int(line is None), None))
+                        held += b - a
+                        if len(rows) >= SENT or held >= BLOCK:
+                            yield batch_of(rows)
+                            rows, held = [], 0
                     if json_stat(path) != stat:
-                        rows, error = [], "changed while it was read"
+                        error = CHANGED
                 except OSError as e:
-                    rows, error = [], str(e)
+                    error = CHANGED if json_stat(path) != stat else str(e)
                 if error is not None:
-                    rows = [(path, start, stop, None, 0, error)]
+                    rows.append((path, start, stop, None, 0, error))
                 if rows:
-                    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["source_path", "byte_start", "byte_end", "line", "n_malformed", "error"])
+                    yield batch_of(rows)
+
+    return listed.repartition(tasks, "path", "start").mapInArrow(run, _DDL)
 
-    return listed.mapInArrow(run, _DDL)
+
+#: What is said of a file that was written to while it was read: it is deferred, not failed.
+CHANGED = "changed while it was read"
 
 
 def json_stat(path: str) -> str:
     found = fingerprint(path)
     return "gone" if found is None else "/".join(str(v) for v in found.values())
-
-
-def preview(path: str, start: int, end: int, committed: int, context: int = 4096, most: int = 8 << 20) -> tuple[str, bool, bool]:
-    """(text, cut before, cut after): complete records around a byte range of one file, for a reader.
-
-    The window is the range and `context` bytes (a MiB at most) on either side, `most` in all,
-    within the committed bytes. Control characters but line feed and tab become U+FFFD.
-    """
-    context = min(context, 1 << 20)
-    lo = max(0, start - context)
-    hi = min(committed, end + context, lo + most)
-    parts = [(a, b, d) for a, b, d in records(path, lo, hi, committed) if d is not None and b < hi]
-    text = "\n".join(d.decode("utf-8", "replace") for _, _, d in parts)
-    shown = "".join(c if c in "\n\t" or c.isprintable() else "�" for c in text)
-    return shown, bool(parts) and parts[0][0] > 0, bool(parts) and parts[-1][1] + 1 < committed

@@ -1,8 +1,9 @@
-"""A versioned store of Parquet tables with one writer at a time and whole commits.
+"""A versioned store of Parquet tables: whole commits, no table rewritten to add rows.
 
-Each commit writes complete new versions of the tables it changes and then swaps one small
-pointer file by an atomic rename: readers see the old tables or the new ones, never a mixture.
-A commit names the version it was made from; if another one came first it is refused.
+A table is a list of parts, folders that are written once and never changed. A commit writes new
+parts and then makes them current by creating one small file, named by the version it makes: that
+fails if another commit made the version first, and a commit that dies before it leaves nothing
+behind but parts that no version names. Readers see the parts of one version, never a mixture.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = 6
+SCHEMA = 7
 
 
 class Conflict(RuntimeError):
@@ -31,78 +32,105 @@ class Store:
         if os.path.islink(root):
             raise ValueError("the store's folder is a link")
         os.chmod(root, 0o700)
-
-    def _pointer(self) -> dict:
-        try:
-            with open(os.path.join(self.root, "CURRENT")) as f:
-                found = json.load(f)
-        except FileNotFoundError:
-            return {"schema": SCHEMA, "version": 0, "tables": {}}
+        self.versions = os.path.join(root, "versions")
+        os.makedirs(self.versions, mode=0o700, exist_ok=True)
+
+    def _names(self) -> list[str]:
+        return sorted(n for n in os.listdir(self.versions) if n.endswith(".json"))
+
+    def pointer(self) -> dict:
+        """The newest version: `schema, version, tables` (name to parts) and `facts` that commits carry on."""
+        names = self._names()
+        if not names:
+            return {"schema": SCHEMA, "version": 0, "tables": {}, "facts": {}}
+        with open(os.path.join(self.versions, names[-1])) as f:
+            found = json.load(f)
         if found["schema"] != SCHEMA:
-            raise ValueError(f"the store has schema {found['schema']}, this library {SCHEMA}: rebuild it")
+            raise ValueError(f"the store has schema {found['schema']}, this library {SCHEMA}: call rebuild() and ingest anew")
         return found
 
     @property
     def version(self) -> int:
-        return self._pointer()["version"]
+        return self.pointer()["version"]
+
+    def rebuild(self) -> None:
+        """Remove everything, whatever its schema: what was ingested can be ingested again."""
+        for name in os.listdir(self.root):
+            path = os.path.join(self.root, name)
+            shutil.rmtree(path) if os.path.isdir(path) else os.unlink(path)
+        os.makedirs(self.versions, mode=0o700)
 
     def read(self, name: str) -> DataFrame | None:
         """The committed table, or None if there is none."""
-        path = self._pointer()["tables"].get(name)
-        return None if path is None else self.spark.read.parquet(os.path.join(self.root, path))
-
-    def commit(self, tables: dict[str, DataFrame], base: int, partition_by: dict[str, list[str]] | None = None) -> int:
-        """Write `tables` and make them current, unless the store has moved on from version `base`."""
-        if self.version != base:
-            raise Conflict(f"version {self.version}, expected {base}")
-        made = {}
-        for name, df in tables.items():
-            path = f"{name}/v{base + 1}-{uuid.uuid4().hex[:8]}"
-            writer = df.write
-            if partition_by and name in partition_by:
-                writer = writer.partitionBy(*partition_by[name])
-            writer.parquet(os.path.join(self.root, path))
-            made[name] = path
-        lock = os.path.join(self.root, "LOCK")
+        parts = self.pointer()["tables"].get(name)
+        return None if not parts else self.spark.read.parquet(*(os.path.join(self.root, p) for p in parts))
+
+    def _write(self, name: str, df: DataFrame, version: int, by: list[str]) -> str:
+        path = f"{name}/v{version}-{uuid.uuid4().hex[:8]}"
+        full = os.path.join(self.root, path)
+        df.write.partitionBy(*by).parquet(full)
+        for folder, _, files in os.walk(full):
+            os.chmod(folder, 0o700)
+            for f in files:
+                os.chmod(os.path.join(folder, f), 0o600)
+        os.chmod(os.path.dirname(full), 0o700)
+        return path
+
+    def commit(
+        self, tables: dict[str, DataFrame], base: int, partition_by: dict[str, list[str]] | None = None,
+        append: dict[str, DataFrame] | None = None, facts: dict | None = None,
+    ) -> int:
+        """Write `tables` in place of the old ones, `append` beside them, and make both current.
+
+        Refused if the store has moved on from version `base`, before anything is written and again
+        at the end. `facts` are merged into those of the pointer.
+        """
+        now = self.pointer()
+        if now["version"] != base:
+            raise Conflict(f"version {now['version']}, expected {base}")
+        by = partition_by or {}
+        made = {name: [self._write(name, df, base + 1, by.get(name, []))] for name, df in tables.items()}
+        for name, df in (append or {}).items():
+            made[name] = [*made.get(name, now["tables"].get(name, [])), self._write(name, df, base + 1, by.get(name, []))]
+        new = now | {"version": base + 1, "tables": now["tables"] | made, "facts": now["facts"] | (facts or {})}
+        part = os.path.join(self.root, f"part.{uuid.uuid4().hex}")
+        with open(part, "w") as f:
+            json.dump(new, f)
+            f.flush()
+            os.fsync(f.fileno())
+        os.chmod(part, 0o600)
         try:
-            os.close(os.open(lock, os.O_CREAT | os.O_EXCL, 0o600))
+            os.link(part, os.path.join(self.versions, f"{base + 1:012d}.json"))  # fails if it is there
         except FileExistsError:
-            raise Conflict("another commit is under way") from None
-        try:
-            now = self._pointer()
-            if now["version"] != base:
-                raise Conflict(f"version {now['version']}, expected {base}")
-            new = now | {"version": base + 1, "tables": now["tables"] | made}
-            part = os.path.join(self.root, f"CURRENT.{uuid.uuid4().hex}")
-            with open(part, "w") as f:
-                json.dump(new, f)
-            os.chmod(part, 0o600)
-            os.replace(part, os.path.join(self.root, "CURRENT"))
+            raise Conflict(f"version {base + 1} was made by another commit") from None
         finally:
-            os.unlink(lock)
+            os.unlink(part)
         return base + 1
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str], drop: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-        """The table after `drop` with `rows` in place of those of equal keys (to be committed)."""
+        """The table after `drop` with `rows` in place of those of equal keys (to be committed whole)."""
         old = self.read(name)
         return rows if old is None else drop(old).join(rows.select(*keys).distinct(), keys, "left_anti").unionByName(rows)
 
     def status(self) -> dict[str, int]:
         """Rows of each table."""
-        return {name: self.read(name).count() for name in self._pointer()["tables"]}
+        return {name: self.read(name).count() for name in self.pointer()["tables"]}
 
     def reclaim(self) -> int:
-        """Remove versions of tables that are no longer current; how many were removed."""
-        current = set(self._pointer()["tables"].values())
+        """Remove parts that the current version does not name, and older versions; how many parts were removed."""
+        names = self._names()
+        current = {p for parts in self.pointer()["tables"].values() for p in parts}
+        for name in names[:-1]:
+            os.unlink(os.path.join(self.versions, name))
         gone = 0
         for name in {os.path.dirname(p) for p in current}:
-            for version in os.listdir(os.path.join(self.root, name)):
-                if f"{name}/{version}" not in current:
-                    shutil.rmtree(os.path.join(self.root, name, version))
+            for part in os.listdir(os.path.join(self.root, name)):
+                if f"{name}/{part}" not in current:
+                    shutil.rmtree(os.path.join(self.root, name, part))
                     gone += 1
         return gone
 
     def compact(self, name: str, files: int) -> int:
-        """Rewrite a table of many small files into `files` larger ones."""
+        """Rewrite a table of many parts into one of `files` files."""
         base = self.version
         return self.commit({name: self.read(name).repartition(files)}, base)

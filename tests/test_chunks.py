@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from scrollmill.operators import chunks
 
 SCHEMA = (
@@ -62,7 +64,10 @@ def test_fold_equals_brute_force(spark):
         mine = sorted(repr((r["agent"], r["source_file_id"], r["source_generation"], r["ordinal"], r["native_id"], r["kind"], r["source_start"], r["source_end"], r["text"])) for r in got)
         assert mine == brute(rows, 48)
         assert all(len(r["text"].encode()) <= 48 for r in got)
-        assert sum(r["is_open"] for r in got) == len({r["source_file_id"] for r in got})
+        last = {}
+        for r in got:
+            last[r["source_file_id"]] = max(last.get(r["source_file_id"], 0), r["ordinal"])
+        assert all(r["ordinal"] == last[r["source_file_id"]] for r in got if r["is_open"])
 
 
 def test_fold_one_long_run_and_empty(spark):
@@ -71,3 +76,32 @@ def test_fold_one_long_run_and_empty(spark):
     assert [r["text"].count("w") for r in chunks.fold(df).collect()] == [200]
     assert chunks.fold(df.limit(0)).count() == 0
     assert list(chunks.pieces("aéé", 4)) == ["aé", "é"]
+
+
+def test_restart_equivalence(spark):
+    """Folding may stop at any event: saved and resumed, the chunks are those of one call."""
+    rows = [r for r in _events(5, 60) if r[0] is not None][:60]
+    rows.sort(key=lambda r: r[8])
+    whole = spark.createDataFrame(rows, SCHEMA)
+    key = lambda r: (r["source_file_id"], r["ordinal"])
+    shown = lambda found: sorted((*key(r), r["native_id"], r["kind"], r["source_start"], r["source_end"], r["text"], r["is_open"]) for r in found)
+    want = shown(chunks.fold(whole, most=24).collect())
+    for at in (0, 7, 23, 41, 59, 60):
+        first = chunks.fold(spark.createDataFrame(rows[:at], SCHEMA), most=24)
+        state = chunks.saved(first).withColumn("source_path", F.lit("/p"))
+        opened = chunks.restored(state, 24)
+        assert opened.filter("not is_valid").count() == 0
+        second = chunks.fold(spark.createDataFrame(rows[at:], SCHEMA), most=24, opened=opened)
+        assert shown([*first.filter("not is_open").collect(), *second.collect()]) == want
+        again = chunks.restored(chunks.saved(second, opened).withColumn("source_path", F.lit("/p")), 24)
+        assert {r["source_file_id"] for r in again.collect()} == {w[0] for w in want}
+
+
+def test_states_that_are_not_valid(spark):
+    good = '{"next_ordinal":2,"pending":{"session_id":{"agent":"Claude","native_id":"s"},"ordinal":2,"timestamp_millis":5,"source_path":"/p","file_id":1,"generation":0,"start":0,"end":9,"text":"abc","kind":"User"}}'
+    states = [good, None, "", '{"next_ordinal":3,"pending":null}', good.replace('"ordinal":2,"t', '"ordinal":1,"t'), good.replace("Claude", "Other"), good.replace('"end":9', '"end":-1'),
+              good.replace("5,", "-5,"), good.replace("abc", "x" * 99), "{", '{"next_ordinal":2000000000,"pending":null}', good.replace("User", "Tool")]
+    df = spark.createDataFrame([(0, i, 0, "/p", s) for i, s in enumerate(states)], "agent int, source_file_id bigint, source_generation bigint, source_path string, open_turn_state string")
+    got = sorted(chunks.restored(df, 32).collect(), key=lambda r: r["source_file_id"])
+    assert [r["is_valid"] for r in got] == [True] * 4 + [False] * 8
+    assert (got[0]["text"], got[0]["kind"], got[0]["next_ordinal"]) == ("abc", 0, 2) and got[3]["next_ordinal"] == 3 and got[1]["text"] is None

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from scrollmill.functions.tokens import edits, token_list
-from scrollmill.operators import search
+from scrollmill.operators import postings, search
 from scrollmill.plans.query_language import Phrase, expression
 
 TEXTS = [
@@ -40,6 +40,34 @@ def test_hits_and_scores_equal_an_independent_index(chunks, index, query):
     assert got == pytest.approx(want, abs=1e-9)
 
 
+@pytest.fixture(scope="module")
+def stored(chunks, tmp_path_factory):
+    return postings.build(chunks, str(tmp_path_factory.mktemp("index")))
+
+
+@pytest.mark.parametrize("query", QUERIES)
+def test_stored_postings_give_the_same(stored, index, query):
+    text = expression(query)
+    want = dict(index.execute("select rowid, bm25(t) from t where t match ?", (text,)).fetchall())
+    got = {r["chunk_id"]: r["score"] for r in search.hits(stored, text).select("chunk_id", "score").collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_stored_postings_empty_and_pruned(spark, chunks, stored, tmp_path):
+    empty = postings.build(chunks.limit(0), str(tmp_path / "e"))
+    assert search.hits(empty, '"alpha"').count() == 0 and search.search(empty, "alpah").results.count() == 0
+    assert {tuple(r) for r in search.vocabulary(stored).collect()} == {tuple(r) for r in search.vocabulary(chunks).collect()}
+    plan = search.hits(stored, '"alpha"')._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,alpha)" in plan and "text" not in plan
+    first = spark.createDataFrame([(1, "s1", 3), (0, "s1", 2)], "agent int, native_id string, grp int")
+    for query in ("alpha", "gama", "alpha*"):
+        rows = [[(r["place"], r["chunk_id"], r["grp"]) for r in search.search(c, query, priorities=first).results.orderBy("place").collect()] for c in (chunks, stored)]
+        assert rows[0] == rows[1] and rows[0]
+    assert search.search(stored, "alpha", priorities=first).per_group() == [(2, 1), (3, 1)]
+    shown = stored.with_chunks(search.search(stored, "needle").results).collect()
+    assert [r["source_path"] for r in shown] == ["/p"]
+
+
 @pytest.mark.parametrize("query", ["needle", "alpha", '"rate limit"', "rate again", "gamma"])
 def test_snippets_equal_an_independent_index(index, query):
     text = expression(query)

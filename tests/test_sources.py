@@ -3,7 +3,7 @@ import os
 
 import pytest
 
-from scrollmill.sources import jsonl
+from scrollmill.sources import jsonl, preview
 from scrollmill.sources.store import Conflict, Store
 
 
@@ -64,9 +64,18 @@ def test_samples_and_preview(tmp_path):
     with path.open("a") as f:
         f.write("more\n")
     assert jsonl.sample(str(path), size) == before
-    text, cut_before, cut_after = jsonl.preview(str(path), 200, 210, size, context=30)
-    assert cut_before and cut_after and '{"n": 2' in text
-    assert jsonl.preview(str(path), 0, size, size)[1:] == (False, False)
+    parts, cut_before, cut_after = preview.window(str(path), 200, 210, size, context=30)
+    assert cut_before and cut_after and any(b'{"n": 2' in d for _, _, d in parts)
+    assert preview.window(str(path), 0, size, size)[1:] == (False, False)
+
+
+def test_a_record_of_any_length_is_read_in_blocks(tmp_path, monkeypatch):
+    monkeypatch.setattr(jsonl, "MOST_RECORD", 10)
+    monkeypatch.setattr(jsonl, "BLOCK", 4)
+    path = tmp_path / "f.jsonl"
+    path.write_bytes(b"0123456789\n" + b"x" * 99 + b"\n" + b"01234567890\nend\n")
+    size = path.stat().st_size
+    assert [(b - a, d) for a, b, d in jsonl.records(str(path), 0, size, size)] == [(10, b"0123456789"), (99, None), (11, None), (3, b"end")]
 
 
 def test_store(spark, tmp_path):
