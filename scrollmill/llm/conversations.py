@@ -1,19 +1,22 @@
 """Rebuilding conversations from message rows by parent pointers.
 
-The parent of a message is the one just before it in its session: the message with the ordinal
-below its own, or, in a session without ordinals, the one before it in time. Following pointers
-row by row would take as many steps as the longest session is long, and gathering a session in
-one task fails for one that holds a third of all rows. So:
-
-1. rows are range-partitioned by (agent, session, order), which cuts long sessions into runs over
-   many tasks, and each task contracts its runs to their heads: within a run every pointer is
-   resolved by one local pass;
-2. pointers between runs are resolved by iterative pointer-jumping joins (`jump`), which double
-   the distance each round; only sessions of more than one run take part, so at most two runs
-   a task are joined;
-3. a head without its parent is an orphan: the chain of its session is broken.
-
-`jump` works on any table of nodes and parents, and also finds cycles.
+The parent of a message is the message of its session with the ordinal below its own, or, in a
+session without ordinals, the one before it in time. A conversation is a path: every message but
+the first has its parent, and no message has two children. Following pointers row by row would
+take as many steps as the longest session is long, and gathering a session in one task fails for
+one that holds a third of all rows. So:
+
+1. rows are range-partitioned by (agent, session, order), which deals long sessions over many
+   tasks, and each task contracts its rows to runs, in which every row's parent is the row before;
+   a run goes by the key of its last row and points to the key that its first row's parent has;
+2. runs are resolved by iterative pointer-jumping joins (`jump`), which double the distance each
+   round; a session that is one run from its first ordinal on is resolved already;
+3. a run whose parent is no run's key is an orphan: a message is missing there. Runs of equal
+   depth are a fork: an ordinal is held twice. Either breaks the session. Sound runs are a path,
+   and their depth is their place in the conversation.
+
+`jump` works on any table of nodes and parents, also finds cycles, and has a query of its own over
+records that carry explicit pointers.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scrollmill.functions.blank import has_text, trimmed
 from scrollmill.session import cut
@@ -78,6 +81,16 @@ def paths(nodes: DataFrame) -> DataFrame:
     return jump(nodes).filter("state = 'ok'").select("root", "depth", "node")
 
 
+def threads(records: DataFrame) -> DataFrame:
+    """`root, state, n_nodes, longest` of the threads that explicit pointers of records make.
+
+    `records` has `node` and `parent`; a node that is null is left out, of a repeated one the least
+    parent counts. Chains with a cycle have a null root and are one row together.
+    """
+    known = records.filter("node is not null").groupBy("node").agg(F.min("parent").alias("parent"))
+    return jump(cut(known)).groupBy("root", "state").agg(F.count(F.lit(1)).alias("n_nodes"), F.max("depth").alias("longest"))
+
+
 def distinct_messages(rows: DataFrame, with_text: bool = False) -> DataFrame:
     """One row per message: rows equal in session, ordinal, type and text count once.
 
@@ -120,7 +133,6 @@ _RUN = [
     ("n_ordinals", pa.int64()),
     ("first_ordinal", pa.int64()),
     ("last_ordinal", pa.int64()),
-    ("orphans", pa.int64()),
     ("n_said", pa.int64()),
     ("first_said", pa.int32()),
     ("last_said", pa.int32()),
@@ -128,31 +140,32 @@ _RUN = [
 ]
 _RUN_DDL = (
     "agent int, session_id string, run int, n bigint, n_ordinals bigint, first_ordinal bigint, last_ordinal bigint,"
-    " orphans bigint, n_said bigint, first_said int, last_said int, unanswered bigint"
+    " n_said bigint, first_said int, last_said int, unanswered bigint"
 )
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contract the sorted rows of a task to a row per run: a session's rows in this task."""
+    """Contract the sorted rows of a task to a row per run: rows of a session that follow one another."""
     task = TaskContext.get().partitionId()
     rows: list[list] = []
     open_: list | None = None
     for batch in batches:
         for agent, session, ordinal, said in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if open_ is None or open_[1] != session or open_[0] != agent:
-                open_ = [agent, session, task, 0, 0, ordinal, ordinal, 0, 0, 0, 0, 0]
+            follows = open_ is not None and open_[1] == session and open_[0] == agent
+            if follows:
+                before = open_[6]
+                follows = ordinal is None if before is None else ordinal == before + 1
+            if not follows:
+                open_ = [agent, session, task, 0, 0, ordinal, ordinal, 0, 0, 0, 0]
                 rows.append(open_)
-            elif ordinal is not None and (open_[6] is None or ordinal != open_[6] + 1):
-                open_[7] += 1
             open_[3] += 1
-            if ordinal is not None:
-                open_[4] += 1
+            open_[4] += ordinal is not None
             open_[6] = ordinal
             if said:
-                open_[11] += said == _USER and open_[10] == _USER
-                open_[8] += 1
-                open_[9] = open_[9] or said
-                open_[10] = said
+                open_[10] += said == _USER and open_[9] == _USER
+                open_[7] += 1
+                open_[8] = open_[8] or said
+                open_[9] = said
         if len(rows) > 8192:
             yield _runs(rows[:-1])
             rows = rows[-1:]
@@ -179,7 +192,7 @@ def sessions(rows: DataFrame) -> DataFrame:
     is a value like any other. Columns: `agent`, `session_id`, `reason`, `n_messages`, `n_runs`.
     """
     slim = distinct_messages(rows).select(*_KEY, "ordinal", "said", "at", "message_id")
-    return _verdicts(_heads(_in_order(slim, _tasks(rows))))
+    return _verdicts(_chained(_heads(_in_order(slim, _tasks(rows)))))
 
 
 def _heads(ordered: DataFrame) -> DataFrame:
@@ -187,42 +200,52 @@ def _heads(ordered: DataFrame) -> DataFrame:
     return cut(ordered.select(*_KEY, "ordinal", "said").mapInArrow(_contract, _RUN_DDL))
 
 
+def _key(*parts) -> Column:
+    return F.to_json(F.struct(F.col("agent"), F.col("session_id"), *parts), {"ignoreNullFields": "false"})
+
+
 def _chained(runs: DataFrame) -> DataFrame:
-    """Runs with `depth`, their place in the session: by pointer jumping where there are several."""
+    """Runs with `depth`, their place in the session, and the `state` of the chain of their parents.
+
+    A run with ordinals points to the ordinal before its first, a run without to the session's run
+    before it (there is one a task). Only sessions of several runs, or of a run that does not begin
+    at 0, have pointers left to resolve.
+    """
     own = Window.partitionBy(*_KEY)
-    node = F.to_json(F.struct(F.col("agent"), F.col("session_id"), F.col("run")), {"ignoreNullFields": "false"})
     many = runs.withColumn("n_runs", F.count(F.lit(1)).over(own))
-    single = many.filter("n_runs = 1").withColumn("depth", F.lit(0).cast("bigint")).withColumn("parent", F.lit(None).cast("string"))
-    several = many.filter("n_runs > 1").withColumn("node", node)
-    several = several.withColumn("parent", F.lag("node").over(own.orderBy("run")))
-    depth = jump(several.select("node", "parent")).select("node", "depth")
-    return single.unionByName(several.join(depth, "node").drop("node"))
-
-
-def _verdicts(runs: DataFrame) -> DataFrame:
-    chained = _chained(runs)
-    before = Window.partitionBy(*_KEY).orderBy("depth")
-    # runs of one session: at most one a task, so these windows hold few rows
-    seen = chained.withColumn("last", F.last(F.when(F.col("n_said") > 0, F.col("last_said")), ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)))
-    seen = seen.withColumn("before", F.lag("last_ordinal").over(before))
-    expected = F.when(F.col("depth") == 0, 0).otherwise(F.col("before") + 1)
-    orphan = F.when(F.col("n_ordinals") == 0, 0).otherwise(
-        F.col("orphans") + F.when(F.col("first_ordinal").isNull() | ~F.col("first_ordinal").eqNullSafe(expected), 1).otherwise(0)
+    whole = (F.col("n_runs") == 1) & (F.col("first_ordinal").isNull() | (F.col("first_ordinal") == 0))
+    done = many.filter(whole).withColumn("depth", F.lit(0).cast("bigint")).withColumn("state", F.lit("ok"))
+    numbered = F.col("last_ordinal").isNotNull()
+    several = many.filter(~whole).withColumn("node", F.when(numbered, _key(F.col("last_ordinal").alias("at"))).otherwise(_key(F.col("run").alias("run"))))
+    before = F.lag(F.when(~numbered, F.col("node"))).over(own.orderBy(numbered, "run"))
+    several = several.withColumn(
+        "parent", F.when(~numbered, before).when(F.col("first_ordinal") != 0, _key((F.col("first_ordinal") - 1).alias("at")))
     )
+    several = cut(several)
+    # an ordinal held twice may end two runs: one node, of which the two have the same depth
+    found = jump(several.groupBy("node").agg(F.min("parent").alias("parent"))).select("node", "depth", "state")
+    return done.unionByName(several.join(found, "node").select(done.columns))
+
+
+def _verdicts(chained: DataFrame) -> DataFrame:
+    before = Window.partitionBy(*_KEY).orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    # a sound session has at most a run a task, and a broken one is not in the order of its messages
+    seen = chained.withColumn("last", F.last(F.when(F.col("n_said") > 0, F.col("last_said")), ignorenulls=True).over(before))
     open_turn = F.col("unanswered") + F.when((F.col("last") == _USER) & (F.col("first_said") == _USER), 1).otherwise(0)
-    ended = F.max_by("last_said", F.when(F.col("n_said") > 0, F.col("depth")))
-    began = F.min_by("first_said", F.when(F.col("n_said") > 0, F.col("depth")))
+    first = F.struct(F.coalesce("first_ordinal", F.lit(-1)), "run")
     whole = seen.groupBy(*_KEY).agg(
         F.sum("n").alias("n_messages"),
         F.sum("n_said").alias("n_said"),
         F.sum("n_ordinals").alias("n_ordinals"),
-        F.sum(orphan).alias("orphans"),
+        F.sum(F.when(F.col("state") == "ok", 0).otherwise(1)).alias("lost"),
+        F.countDistinct("depth").alias("n_depths"),
         F.sum(open_turn).alias("open_turns"),
-        began.alias("began"),
-        ended.alias("ended"),
+        F.min_by("first_said", F.when(F.col("n_said") > 0, first)).alias("began"),
+        F.max_by("last_said", F.when(F.col("n_said") > 0, first)).alias("ended"),
         F.count(F.lit(1)).alias("n_runs"),
     )
-    gaps = (F.col("n_ordinals") > 0) & ((F.col("orphans") > 0) | (F.col("n_ordinals") < F.col("n_messages")))
+    no_path = (F.col("lost") > 0) | (F.col("n_depths") < F.col("n_runs"))
+    gaps = (F.col("n_ordinals") > 0) & (no_path | (F.col("n_ordinals") < F.col("n_messages")))
     reason = (
         F.when(F.col("n_said") == 0, "empty")
         .when(gaps | (F.col("began") == _ASSISTANT), "broken")
@@ -240,11 +263,10 @@ def rebuild(rows: DataFrame) -> DataFrame:
     # written once: both passes must see the same rows in the same task, and the bounds of a range
     # partitioning come from a sample
     ordered = cut(_in_order(distinct_messages(rows, with_text=True), _tasks(rows)))
-    runs = _heads(ordered)
-    chained = _chained(runs)
+    chained = cut(_chained(_heads(ordered)))
     before = Window.partitionBy(*_KEY).orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
     offsets = chained.select(*_KEY, "run", F.coalesce(F.sum("n_said").over(before), F.lit(0)).alias("offset"))
-    kept = _verdicts(runs).filter("reason is null").select(*_KEY)
+    kept = _verdicts(chained).filter("reason is null").select(*_KEY)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scrollmill.llm import conversations, leaks, mix, pii, split, truncation
+from scrollmill.operators import adapters
 from scrollmill.session import table
 
 
@@ -40,6 +41,13 @@ def p4_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select("agent", "session_id", "turn", "role", "message_id")
 
 
+def p4_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threads of the records that carry pointers, with orphans and cycles among them."""
+    parsed = adapters.parse(table(spark, sf_dir, "raw_records"))
+    text = lambda key: adapters.string(F.col("v"), f"$.{key}")
+    return conversations.threads(parsed.select(text("uuid").alias("node"), text("parentUuid").alias("parent")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -73,7 +81,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_turns, p6_found, p6_items, p7_found, p7_shares, p7_selection, p8_found, p8_rates)
+    for f in (p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_turns, p4_threads, p6_found, p6_items, p7_found, p7_shares, p7_selection, p8_found, p8_rates)
 }
 
 _MESSAGES = r"""
@@ -123,4 +131,22 @@ ORACLE = {
     "p4_turns": _MESSAGES
     + """select s.agent, s.session_id, s.turn, case s.said when 1 then 'user' else 'assistant' end as role, s.message_id
         from spoken s join verdict v on s.agent = v.agent and s.session_id = v.session_id where v.reason is null""",
+    "p4_threads": r"""
+        with recursive good as (
+            select line from raw_records
+            where json_valid(line) and not regexp_matches(line, ',\s*\}\s*$') and not regexp_matches(line, ',\s*\]\s*\}+\s*$')
+        ), named as (
+            select case when json_type(line, '$.uuid') = 'VARCHAR' then json_extract_string(line, '$.uuid') end as node,
+                case when json_type(line, '$.parentUuid') = 'VARCHAR' then json_extract_string(line, '$.parentUuid') end as parent
+            from good where json_type(line) = 'OBJECT'
+        ), known as (select node, min(parent) as parent from named where node is not null group by node),
+        walk as (
+            select k.node, k.node as root, 0::bigint as depth, case when k.parent is null then 'ok' else 'orphan' end as state
+            from known k where k.parent is null or k.parent not in (select node from known)
+            union all
+            select k.node, w.root, w.depth + 1, w.state from known k join walk w on k.parent = w.node
+        )
+        select root, state, count(*) as n_nodes, max(depth) as longest from walk group by root, state
+        union all
+        select null, 'cycle', count(*), null from known where node not in (select node from walk) having count(*) > 0""",
 }

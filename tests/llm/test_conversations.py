@@ -20,6 +20,9 @@ CASES = {
     "gap": [("user", 0, "a"), ("assistant", 2, "b")],
     "start": [("user", 1, "a"), ("assistant", 2, "b")],
     "twice": [("user", 0, "a"), ("assistant", 1, "b"), ("assistant", 1, "other")],
+    "twice at the start": [("user", 0, "a"), ("user", 0, "other"), ("assistant", 1, "b")],
+    "two in a fork": [("user", 0, "a"), ("assistant", 1, "b"), ("user", 1, "c"), ("assistant", 2, "d"), ("assistant", 2, "e")],
+    "below zero": [("user", -1, "a"), ("assistant", 0, "b")],
     "repeat": [("user", 0, "a"), ("assistant", 1, "b"), ("ASSISTANT", 1, " b ")],
     "some null": [("user", 0, "a"), ("assistant", None, "b")],
     "blank": [("user", 0, " ​"), ("assistant", 1, None), ("system", 2, "x")],
@@ -31,7 +34,7 @@ CASES = {
     "by time open": [("assistant", None, "a"), ("user", None, "b")],
 }
 WANT = {
-    "fine": None, "gap": "broken", "start": "broken", "twice": "broken", "repeat": None, "some null": "broken", "blank": "empty", "no speaker": "empty",
+    "fine": None, "gap": "broken", "start": "broken", "twice": "broken", "twice at the start": "broken", "two in a fork": "broken", "below zero": "broken", "repeat": None, "some null": "broken", "blank": "empty", "no speaker": "empty",
     "late start": "broken", "open end": "no_reply", "two users": "no_reply", "by time": None, "by time open": "broken",
 }
 
@@ -76,3 +79,26 @@ def test_pointer_jumping(spark):
     assert got["z"] == ("r", 2, "ok") and got["below"] == ("lost", 1, "orphan")
     assert {k for k, v in got.items() if v[2] == "cycle"} == {"p", "q", "tail", "self"}
     assert c.paths(spark.createDataFrame(tree + odd, "node string, parent string")).count() == 4
+
+
+def test_every_place_of_a_gap_or_repeat(spark):
+    """Sessions with a row lost or an ordinal repeated at any place, dealt over tasks, against a plain count."""
+    cases = {}
+    for i in range(40):
+        rows = [("user" if k % 2 == 0 else "assistant", k, f"t{k}") for k in range(12)]
+        cases[f"whole {i}"] = rows
+        cases[f"lost {i}"] = [r for r in rows if r[1] != i % 12]
+        cases[f"twice {i}"] = [*rows, ("assistant", i % 12, "again")]
+    got = {r["session_id"]: r["reason"] for r in c.sessions(frame(spark, cases)).collect()}
+    for name, rows in cases.items():
+        ordinals = sorted(o for _, o, _ in rows)
+        want = "broken" if ordinals != list(range(len(rows))) or min(rows, key=lambda r: r[1])[0] != "user" else None
+        want = want or ("no_reply" if len(rows) % 2 else None)
+        assert got[name] == want, name
+
+
+def test_threads(spark):
+    odd = [("r", None), ("x", "r"), ("x", "r"), ("lost", "gone"), ("below", "lost"), ("p", "q"), ("q", "p"), (None, "r"), ("self", "self")]
+    got = {tuple(r) for r in c.threads(spark.createDataFrame(odd, "node string, parent string")).collect()}
+    assert got == {("r", "ok", 2, 1), ("lost", "orphan", 2, 1), (None, "cycle", 3, None)}
+    assert c.threads(spark.createDataFrame([], "node string, parent string")).count() == 0
