@@ -2,9 +2,13 @@
 
 Each task reads the top-level fields of its records and folds them per file into a header: a
 set of JSON types per field. Sets of types under union are the type-promotion lattice (null at
-the bottom, one type above it, a mix of types at the top, held as JSON text), so headers of one
-file from several tasks merge by a bit-or, in any order and however the file is split. A file
-with a third of all rows is thus folded where its rows lie; only headers are shuffled.
+the bottom, one type above it, whole numbers below fractions, a mix of types at the top, held as
+JSON text), so headers of one file from several tasks merge by a bit-or, in any order and however
+the file is split. A file with a third of all rows is thus folded where its rows lie; only headers
+are shuffled. The union over all files is the schema to which `unify` casts every record.
+
+`log` tells the differences in the order of files: what each one adds to the types of the files
+before it (a running bit-or, itself folded by parts), and where it deviates from the catalog.
 
 A field outside the catalog is held to be another name of a catalog field if
  - both spell the same words (`session-id`, `sessionID`, `session_id`),
@@ -23,14 +27,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import xxhash
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scrollmill.functions.strict_json import clean, loads_object
-from scrollmill.session import spread
+from scrollmill.session import cut, spread
 
-#: The lattice's atoms. Numbers are one atom: JSON knows no other.
+#: The lattice's atoms. JSON knows one kind of number; `fraction` is a mark beside it, of a number
+#: that is none of 64 bits without a fraction.
 TYPE_BITS = {"string": 1, "number": 2, "boolean": 4, "array": 8, "object": 16, "null": 32}
-_BIT_OF = {str: 1, int: 2, float: 2, bool: 4, list: 8, dict: 16, type(None): 32}
+FRACTION = 64
+_BIT_OF = {str: 1, int: 2, float: 2 | FRACTION, bool: 4, list: 8, dict: 16, type(None): 32}
 
 # Other ways to say a field of a transcript record, in lower case without separators.
 OTHER_WORDS = {
@@ -52,8 +59,10 @@ OTHER_WORDS = {
 LEAST_LIFT = 0.4
 #: Least share of a stand-in's values that look like values of the field.
 LEAST_LIKE = 0.9
-#: Least records that carry a stand-in.
-LEAST_SEEN = 20
+#: Least lower bounds of both, so that few records don't prove a stand-in: at 95 % confidence.
+SURE_LIFT, SURE_LIKE, Z = 0.2, 0.7, 1.96
+#: Least share of a field's values for a look of theirs to be usual: a field has fifty such looks at most.
+USUAL = 0.02
 
 
 def words(name: Column) -> Column:
@@ -61,13 +70,20 @@ def words(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, r"[^\p{L}\p{N}]", ""))
 
 
-@lru_cache(maxsize=1 << 16)
 def _look_of_text(text: str) -> str:
     """Runs of hex digits, of digits and of letters each as one sign, all else as it is; prose is one look."""
     if " " in text:
         return "s prose"
     s = re.sub(r"[0-9a-f]{8,}", "h", text)
-    return "s" + re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "0", s))[:24]
+    return _narrow("s" + re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "0", s)))
+
+
+_kept_look = lru_cache(maxsize=1 << 16)(_look_of_text)
+
+
+def _narrow(look: str) -> str:
+    """A long look by its hash, so that rows stay narrow and no two long looks are taken for one."""
+    return look if len(look) <= 40 else "#" + xxhash.xxh3_128_hexdigest(look.encode("utf-8", "replace"))
 
 
 def _words(name: str) -> str:
@@ -75,14 +91,20 @@ def _words(name: str) -> str:
 
 
 def _look(value) -> str:
-    """A coarse look of a value: what a reader sees of its form before its meaning."""
+    """A coarse look of a whole value: what a reader sees of its form before its meaning."""
     if isinstance(value, str):
-        return _look_of_text(value[:64])
+        return _kept_look(value) if len(value) < 256 else _look_of_text(value)
     if isinstance(value, dict):
-        return "o" + ",".join(sorted(value))[:40]
+        return _narrow("o" + ",".join(sorted(value)))
     return type(value).__name__[:1]
 
 
+def _bit(value) -> int:
+    if type(value) is int and not -(1 << 63) <= value < 1 << 63:
+        return _BIT_OF[float]
+    return _BIT_OF[type(value)]
+
+
 def headers(records: DataFrame, catalog: list[dict]) -> DataFrame:
     """Per-task folded headers and stand-in counts of `records` (file_id, agent, line).
 
@@ -114,7 +136,7 @@ def headers(records: DataFrame, catalog: list[dict]) -> DataFrame:
                 lacking = None
                 for name, value in record.items():
                     key = (fid, agent, name)
-                    masks[key] = masks.get(key, 0) | _BIT_OF[type(value)]
+                    masks[key] = masks.get(key, 0) | _bit(value)
                     if value is not None:
                         counts["look", agent, name, _look(value)] += 1
                     if name not in own:
@@ -160,50 +182,51 @@ def other_names(parts: DataFrame, catalog: list[dict]) -> DataFrame:
     """
     spark = parts.sparkSession
     of = lambda what: F.col("what") == what
-    pair = F.struct("other", "n")
-    stats = parts.groupBy("agent", "field").agg(
-        F.sum(F.when(of("name") | of("file"), F.col("n"))).alias("seen"),
-        F.bit_or("mask").alias("mask"),
-        F.map_from_entries(F.collect_list(F.when(of("lack"), pair))).alias("lacks"),
-        F.collect_list(F.when(of("look"), pair)).alias("looks"),
-    )
     own = {(r["agent"], r["field_name"]) for r in catalog}
     names = sorted({r["field_name"] for r in catalog})
-    base, usual = {}, {}
-    for r in stats.filter(F.col("field").isNull() | F.col("field").isin(names)).collect():
-        if r["field"] is None:
-            base |= {(r["agent"], f): n / r["seen"] for f, n in r["lacks"].items()}
-        elif (r["agent"], r["field"]) in own:
-            total = sum(x["n"] for x in r["looks"])
-            usual[r["agent"], r["field"]] = [x["other"] for x in r["looks"] if x["n"] >= 0.02 * total]
+    # records of an agent, and how many of them lack a field: a row each for the catalog's fields
+    counted = parts.filter("field is null and what in ('file', 'lack')").groupBy("agent", "other").agg(F.sum("n").alias("n")).collect()
+    records = {r["agent"]: r["n"] for r in counted if r["other"] is None}
+    base = {(r["agent"], r["other"]): r["n"] / records[r["agent"]] for r in counted if r["other"] is not None}
     rows = [
-        (r["agent"], r["field_name"], type_mask(r["json_types"]), base.get((r["agent"], r["field_name"]), 0.0),
-         usual.get((r["agent"], r["field_name"]), []), _words(r["field_name"]), OTHER_WORDS.get(_words(r["field_name"]), []))
+        (r["agent"], r["field_name"], type_mask(r["json_types"]), base.get((r["agent"], r["field_name"]), 0.0), _words(r["field_name"]), OTHER_WORDS.get(_words(r["field_name"]), []))
         for r in catalog
-    ]
-    ddl = "agent int, name string, allowed int, base double, usual array<string>, same string, said array<string>"
-    cat = F.broadcast(spark.createDataFrame(rows, ddl))
+    ]
+    cat = F.broadcast(spark.createDataFrame(rows, "agent int, name string, allowed int, base double, same string, said array<string>"))
     is_own = F.struct("agent", "field").isin([F.struct(F.lit(a).cast("int").alias("agent"), F.lit(f).alias("field")) for a, f in own]) if own else F.lit(False)
-    loose = stats.filter(F.col("field").isNotNull() & ~is_own).withColumn("w", words(F.col("field"))).join(cat, "agent")
-    like = F.aggregate(
-        F.filter("looks", lambda x: F.array_contains("usual", x["other"])), F.lit(0).cast("bigint"), lambda s, x: s + x["n"]
-    ) / F.aggregate("looks", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+    looks = parts.filter(of("look")).select("agent", "field", F.col("other").alias("look"), "n")
+    valued = looks.groupBy("agent", "field").agg(F.sum("n").alias("n_values"))
+    usual = looks.filter(is_own).join(valued, ["agent", "field"]).filter(F.col("n") >= USUAL * F.col("n_values")).select("agent", F.col("field").alias("name"), "look")
+    alike = looks.filter(~is_own).join(F.broadcast(usual), ["agent", "look"]).groupBy("agent", "field", "name").agg(F.sum("n").alias("n_alike"))
+    loose = parts.filter(F.col("field").isNotNull() & ~is_own).groupBy("agent", "field").agg(
+        F.sum(F.when(of("name"), F.col("n"))).alias("seen"), F.bit_or("mask").alias("mask")
+    )
+    lacks = parts.filter(of("lack") & F.col("field").isNotNull()).select("agent", "field", F.col("other").alias("name"), F.col("n").alias("n_lack"))
     fits = F.col("mask").bitwiseAND(F.col("allowed")) > 0
-    scored = loose.select(
-        "agent",
-        "field",
-        "name",
-        "seen",
-        fits.alias("fits"),
-        F.when(F.col("w") == F.col("same"), 2).when(fits & F.array_contains("said", F.col("w")), 1).otherwise(0).alias("by_name"),
-        (F.coalesce(F.try_element_at("lacks", F.col("name")), F.lit(0)) / F.col("seen") - F.col("base")).alias("lift"),
-        F.coalesce(like, F.lit(0.0)).alias("like"),
+    spelled = loose.withColumn("w", words(F.col("field"))).join(cat, "agent")
+    by_name = F.when(F.col("w") == F.col("same"), 2).when(fits & F.array_contains("said", F.col("w")), 1).otherwise(0)
+    scored = (
+        spelled.join(lacks, ["agent", "field", "name"], "left")
+        .join(alike, ["agent", "field", "name"], "left")
+        .join(valued, ["agent", "field"], "left")
+        .na.fill(0, ["n_lack", "n_alike", "n_values"])
+        .select("agent", "field", "name", "base", fits.alias("fits"), by_name.alias("by_name"), "n_lack", "seen", "n_alike", "n_values")
     )
-    stands_in = F.col("fits") & (F.col("lift") >= LEAST_LIFT) & (F.col("like") >= LEAST_LIKE) & (F.col("seen") >= LEAST_SEEN)
-    best = F.max_by("name", F.struct("by_name", "lift", "like", "name"))
+    share = lambda k, n: F.coalesce(F.try_divide(k, n), F.lit(0.0))
+    lift, like = share("n_lack", "seen") - F.col("base"), share("n_alike", "n_values")
+    sure = (_at_least(F.col("n_lack"), F.col("seen")) - F.col("base") >= SURE_LIFT) & (_at_least(F.col("n_alike"), F.col("n_values")) >= SURE_LIKE)
+    stands_in = F.col("fits") & (lift >= LEAST_LIFT) & (like >= LEAST_LIKE) & sure
+    best = F.max_by("name", F.struct("by_name", lift.alias("lift"), like.alias("like"), "name"))
     return scored.filter((F.col("by_name") > 0) | stands_in).groupBy("agent", "field").agg(best.alias("name"))
 
 
+def _at_least(k: Column, n: Column) -> Column:
+    """The lower bound of a share of which `k` of `n` are seen (Wilson's, at `Z`)."""
+    p, z2 = k / F.greatest(n, F.lit(1)), Z * Z
+    n = F.greatest(n, F.lit(1))
+    return (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
 def changes(records: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every deviation of a file's records from the catalog: `file_id, agent, change, field_name`.
 
@@ -214,7 +237,10 @@ def changes(records: DataFrame, catalog: DataFrame) -> DataFrame:
     both tables are not read.
     """
     rows = catalog_rows(catalog)
-    parts = headers(records, rows).persist()
+    return _changes(cut(headers(records, rows)), rows)
+
+
+def _changes(parts: DataFrame, rows: list[dict]) -> DataFrame:
     spark = parts.sparkSession
     cat = F.broadcast(
         spark.createDataFrame(
@@ -279,43 +305,91 @@ def promoted(mask: Column) -> Column:
     some = mask.bitwiseAND(F.lit(31))
     out = F.when(some == 0, "null")
     for name, bit in TYPE_BITS.items():
-        if name != "null":
+        if name not in ("null", "number"):
             out = out.when(some == bit, name)
-    return out.otherwise("json")
+    return out.when(some == TYPE_BITS["number"], F.when(mask.bitwiseAND(F.lit(FRACTION)) > 0, "number").otherwise("integer")).otherwise("json")
+
+
+#: The column type of each promoted type; what has no plain one is held as JSON text.
+_CAST = {"string": "string", "integer": "bigint", "number": "double", "boolean": "boolean"}
+
+
+def _named(parts: DataFrame, rows: list[dict]) -> DataFrame:
+    """Types of each file's fields under the catalog's names: `agent, field_name, file_id, mask`."""
+    named = parts.filter("what = 'field'").join(other_names(parts, rows), ["agent", "field"], "left")
+    return named.withColumn("field_name", F.coalesce("name", "field")).groupBy("agent", "field_name", "file_id").agg(F.bit_or("mask").alias("mask"))
 
 
 def union_schema(records: DataFrame, catalog: DataFrame) -> DataFrame:
     """The schema into which all files fit: `agent, field_name, json_type, n_files`.
 
-    Headers of all files folded through the lattice, names of one field taken together.
+    Headers of all files folded through the lattice, names of one field taken together. Numbers
+    are `integer` if all are of 64 bits without a fraction.
     """
     rows = catalog_rows(catalog)
-    parts = headers(records, rows).persist()
-    fields = parts.filter("what = 'field'")
-    named = fields.join(other_names(parts, rows), ["agent", "field"], "left")
-    one = named.withColumn("field_name", F.coalesce("name", "field"))
-    per_file = one.groupBy("agent", "field_name", "file_id").agg(F.bit_or("mask").alias("mask"))
-    folded = per_file.groupBy("agent", "field_name").agg(F.bit_or("mask").alias("mask"), F.count(F.lit(1)).alias("n_files"))
+    folded = _named(cut(headers(records, rows)), rows).groupBy("agent", "field_name").agg(F.bit_or("mask").alias("mask"), F.count(F.lit(1)).alias("n_files"))
     return folded.select("agent", "field_name", promoted(F.col("mask")).alias("json_type"), "n_files")
 
 
+def log(records: DataFrame, catalog: DataFrame, at: str = "read_at") -> DataFrame:
+    """Every difference in order: `at, file_id, agent, change, field_name, type_before, type_after`.
+
+    Files are ordered by their first `at` (null times first), then by id. `appeared` tells that a
+    file is the first of its agent with the field, `promoted` that its types raise those of all
+    files before it in the lattice; the other changes are those of `changes`, without types.
+    """
+    rows = catalog_rows(catalog)
+    parts = cut(headers(records, rows))
+    times = records.groupBy(F.col("file_id").cast("bigint").alias("file_id")).agg(F.min(at).alias("at"))
+    order = [F.col("at"), F.col("file_id")]
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    timed = _named(parts, rows).join(times, "file_id", "left")
+    # a field may be in all files: its running types are folded within ranges of files, then over these
+    dealt = cut(timed.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
+    field = ["agent", "field_name"]
+    sums = dealt.groupBy(*field, "part").agg(F.bit_or("mask").alias("m"))
+    earlier = sums.withColumn("earlier", F.bit_or("m").over(Window.partitionBy(*field).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).drop("m")
+    within = Window.partitionBy(*field, "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    running = dealt.withColumn("own", F.bit_or("mask").over(within)).join(
+        earlier.withColumnsRenamed({c: f"_{c}" for c in [*field, "part"]}), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*field, "part"]]
+    )
+    known = F.coalesce("own", F.lit(0)).bitwiseOR(F.coalesce("earlier", F.lit(0)))
+    types = running.select("at", "file_id", *field, "mask", known.alias("known")).select(
+        "at", "file_id", "agent", F.when(F.col("known") == 0, "appeared").otherwise("promoted").alias("change"), "field_name",
+        F.when(F.col("known") != 0, promoted(F.col("known"))).alias("type_before"), promoted(F.col("known").bitwiseOR(F.col("mask"))).alias("type_after"),
+    )
+    raised = types.filter("change = 'appeared' or type_before != type_after")
+    deviations = _changes(parts, rows).join(times, "file_id", "left")
+    return raised.unionByName(deviations, allowMissingColumns=True)
+
+
 def unify(records: DataFrame, catalog: DataFrame) -> DataFrame:
-    """All records in one table: ids, a column per catalog field, and `extra` for the rest.
+    """All records in one table: ids, a column per catalog field cast to the union schema, and `extra` for the rest.
 
-    A string value comes as its text, any other as JSON text, which holds every promoted type
-    without loss; of two names of one field the proper one counts. Records that are no complete
-    JSON object are left out. The map of other names is a property of schemas, not of rows (as
-    many entries as there are odd names), and is sent to the tasks.
+    A field that all files together hold as strings, whole numbers, numbers or booleans is of that
+    type; arrays, objects and mixes are JSON text, which holds every value without loss. Of two
+    names of one field the proper one counts. Records that are no complete JSON object are left
+    out. The map of other names and the types are properties of schemas, not of rows (as many
+    entries as there are odd names and catalog fields), and are sent to the tasks.
     """
     rows = catalog_rows(catalog)
     names = list(dict.fromkeys(r["field_name"] for r in rows))
     own = {(r["agent"], r["field_name"]) for r in rows}
-    found = other_names(headers(records, rows).persist(), rows).collect()
-    proper = {(r["agent"], r["field"]): r["name"] for r in found}
+    parts = cut(headers(records, rows))
+    proper = {(r["agent"], r["field"]): r["name"] for r in other_names(parts, rows).collect()}
+    folded = _named(parts, rows).filter(F.col("field_name").isin(names)).groupBy("field_name").agg(promoted(F.bit_or("mask")).alias("t"))
+    kinds = {r["field_name"]: r["t"] for r in folded.collect()}
+    kinds = {n: "string" if kinds.get(n, "null") == "null" else kinds[n] for n in names}
     columns = [f"f_{i}" for i in range(len(names))]
 
-    def text(value) -> str | None:
-        return None if value is None else clean(value if isinstance(value, str) else json.dumps(value, ensure_ascii=False))
+    def cell(kind: str, value):
+        if value is None or kind in ("integer", "boolean"):
+            return value
+        if kind == "number":
+            return float(value)
+        return clean(value if kind == "string" else json.dumps(value, ensure_ascii=False))
+
+    arrow = {"integer": pa.int64(), "number": pa.float64(), "boolean": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {n: i for i, n in enumerate(names)}
@@ -328,21 +402,21 @@ def unify(records: DataFrame, catalog: DataFrame) -> DataFrame:
                 rest = {}
                 for name, value in record.items():
                     if (agent, name) in own:
-                        cells[place[name]] = text(value)
+                        cells[place[name]] = cell(kinds[name], value)
                 for name, value in record.items():
                     if (agent, name) not in own:
                         if (at := proper.get((agent, name))) is None:
                             rest[name] = value
                         elif at not in record and cells[place[at]] is None:
-                            cells[place[at]] = text(value)
-                for c, v in zip(out, [rid, fid, agent, *cells, text(rest) if rest else None]):
+                            cells[place[at]] = cell(kinds[at], value)
+                for c, v in zip(out, [rid, fid, agent, *cells, cell("json", rest) if rest else None]):
                     c.append(v)
-            types = [pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * (len(names) + 1)]
+            types = [pa.int64(), pa.int64(), pa.int32(), *(arrow.get(kinds[n], pa.string()) for n in names), pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(out, types)], ["record_id", "file_id", "agent", *columns, "extra"]
             )
 
-    ddl = "record_id bigint, file_id bigint, agent int, " + ", ".join(f"{c} string" for c in columns) + ", extra string"
+    ddl = "record_id bigint, file_id bigint, agent int, " + "".join(f"{c} {_CAST.get(kinds[n], 'string')}, " for c, n in zip(columns, names)) + "extra string"
     source = records.select(
         F.col("record_id").cast("bigint"), F.col("file_id").cast("bigint"), F.col("agent").cast("int"), F.col("line")
     )

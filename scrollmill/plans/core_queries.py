@@ -34,7 +34,12 @@ def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.unify(table(spark, sf_dir, "raw_records"), table(spark, sf_dir, "field_catalog"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_rows, p5_found, p5_schema, p5_unified)}
+def p5_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences in the order of files: what each adds to the types before it, and how it deviates."""
+    return drift.log(table(spark, sf_dir, "raw_records"), table(spark, sf_dir, "field_catalog"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_rows, p5_found, p5_schema, p5_log, p5_unified)}
 
 # This reader of JSON lets a comma pass before a closing brace, so such lines are left out first.
 _NODES = r"""
