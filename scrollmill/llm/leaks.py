@@ -12,8 +12,10 @@ of the item's own words or more.
 Items may be built from few patterns, and so may texts that leak nothing. A word of an item that
 stands in no pair of neighbours common among items is one of its telling words (in items without
 patterns every word is); words count as held only where most telling words around them are equal.
-A seed without telling words that several items have says nothing about one of them and starts no
-chain, unless the item has few other seeds. A sentence that many items have is no item's own words.
+Every seed of own words may start a chain, however many items share it: what a pair of document and
+item can hold at most is counted for all pairs of a batch at once, and only pairs that can reach
+the share are aligned. A sentence that many items have is no item's own words. Items of fewer words
+than a seed are held where they stand word for word.
 
 Items of equal words are one class, reported under each of its ids; near-equal classes are one
 family, and what items share is counted by families, so variants of one item don't count as many.
@@ -31,6 +33,7 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +47,16 @@ from scrollmill.session import spread
 MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 3, 5), (0, 2, 3, 5), (0, 2, 4, 5), (0, 1, 4, 5))
 #: Share of an item's own words that a document must hold.
 LEAST_SHARE = 1 / 3
-#: Families that may share a sentence or a seed, as a share of all, before it is nobody's own.
+#: Families that may share a sentence, as a share of all, before it is nobody's own.
 SHARED = 0.01
 #: Most words between two hits of one chain, and by how much their diagonals may differ.
 GAP, DRIFT = 8, 2
+#: Words from a hit to the end of the one that a chain may put next to it.
+REACH = GAP + 2 * MASKS[-1][-1]
 #: Families that may share a pair of neighbours, as a share of all, before it is a pattern's.
 PATTERN = 0.05
 #: Similarity of the four-word runs of two items from which they are variants of one.
 ALIKE = 0.8
-#: Share of its own seeds below which an item keeps those that other items have too.
-LEAST_SEEDS = 0.5
 #: Telling words nearest to a word of which most must be equal.
 AROUND = 6
 #: Words by which an aligned passage may be longer than the item at either end.
@@ -81,13 +84,13 @@ def seeds(code: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 
 
 class Index:
-    """The seeds of a block of items, their own and their telling words."""
+    """The seeds of a block of items (ids, sentences), their own and their telling words."""
 
-    def __init__(self, items: list[tuple[list[int], int, list[list[str]]]], common: set, patterns: set, least: int) -> None:
-        self.ids = [i for i, _, _ in items]
+    def __init__(self, items: list[tuple[list[int], list[list[str]]]], common: set, patterns: set) -> None:
+        self.ids = [i for i, _ in items]
         self.code, self.own, self.telling, self.bounds = [], [], [], []
         entries: list[list[tuple[int, int, int]]] = [[] for _ in MASKS]
-        for k, (_, _, sentences) in enumerate(items):
+        for k, (_, sentences) in enumerate(items):
             tokens, own, telling, bounds = [], [], [], []
             for s in sentences:
                 bounds.append(len(tokens))
@@ -104,25 +107,55 @@ class Index:
                     if self.own[-1][[pos + o for o in mask]].all():
                         entries[m].append((h, k, pos))
         self.tables = []
-        total, kept_of, keeps = Counter(), Counter(), []
-        for mask, rows in zip(MASKS, entries):
-            of = defaultdict(set)
-            for h, k, _ in rows:
-                of[h].add(items[k][1])
-            keeps.append([len(of[h]) <= least or bool(self.telling[k][[pos + o for o in mask]].any()) for h, k, pos in rows])
-            for (_, k, _), keep in zip(rows, keeps[-1]):
-                total[k] += 1
-                kept_of[k] += keep
-        for rows, keep in zip(entries, keeps):
-            kept = sorted(r for r, own in zip(rows, keep) if own or kept_of[r[1]] < LEAST_SEEDS * total[r[1]])
+        for kept in map(sorted, entries):
             self.tables.append(
                 (np.array([r[0] for r in kept], np.uint64), np.array([r[1] for r in kept], np.int32), np.array([r[2] for r in kept], np.int32))
             )
+        # of each sentence its words and the places of its telling ones
+        spans = [list(zip(b, [*b[1:], len(c)])) for b, c in zip(self.bounds, self.code)]
+        self.words = [[c[lo:hi].tolist() for lo, hi in x] for c, x in zip(self.code, spans)]
+        self.tell_places = [[np.flatnonzero(t[lo:hi]) for lo, hi in x] for t, x in zip(self.telling, spans)]
+        self.needed = [[int(_least_telling(len(t))) for t in x] for x in self.tell_places]
+        self.kept: dict[tuple[int, int], tuple] = {}
+        # all items in a row: where each begins, the sentence of each word, and a sentence's own words
+        self.offset = np.cumsum([0, *(len(c) for c in self.code)])
+        starts = [np.array(b, np.int64) + o for b, o in zip(self.bounds, self.offset)]
+        starts = np.concatenate(starts) if starts else np.empty(0, np.int64)
+        self.sentence = np.repeat(np.arange(len(starts)), np.diff([*starts, self.offset[-1]])) if len(starts) else np.empty(0, np.int64)
+        own_at = np.concatenate(self.own) if self.own else np.empty(0, bool)
+        self.own_words = np.bincount(self.sentence, own_at, len(starts))
+        self.n_own = np.array([int(o.sum()) for o in self.own])
+        # the telling words of each sentence, as places in the list of all of them
+        tells = np.concatenate(self.telling) if self.telling else np.empty(0, bool)
+        all_code = np.concatenate(self.code) if self.code else np.empty(0, np.uint64)
+        self.tell_words, self.tells = np.unique(all_code[tells], return_inverse=True)
+        self.n_tells = np.bincount(self.sentence[tells], minlength=len(starts)).astype(np.int64)
+        self.tell_at = np.cumsum([0, *self.n_tells])
         bits = np.zeros(1 << 20, bool)
         for hashes, _, _ in self.tables:
             bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
         self.bits = bits
 
+    def around(self, k: int, x: int) -> tuple:
+        """Of sentence `x` of item `k`: places of its telling words, which of them are nearest to each word, a matcher."""
+        if (out := self.kept.get((k, x))) is None:
+            tells = self.tell_places[k][x]
+            width = min(AROUND, len(tells))
+            left = np.clip(np.searchsorted(tells, np.arange(len(self.words[k][x]))) - width // 2, 0, len(tells) - width)
+            out = self.kept[k, x] = tells.tolist(), left, left + width, SequenceMatcher(None, [], self.words[k][x], autojunk=False)
+        return out
+
+    def whole(self, code: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(document, item) of items too short for a seed that a document has word for word."""
+        for n in range(1, min(map(len, MASKS))):
+            short = [i for i, c in enumerate(self.code) if len(c) == n and self.own[i].all()]
+            if short:
+                h = seeds(code, tuple(range(n)))
+                for i in short:
+                    at = np.flatnonzero(h == seeds(self.code[i], tuple(range(n)))[0])
+                    for x in np.unique(np.searchsorted(begin, at, "right") - 1).tolist():
+                        yield x, i
+
     def hits(self, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
         """(document positions, items, item positions, mask) of the seeds that `code` shares with items."""
         for m, mask in enumerate(MASKS):
@@ -139,6 +172,56 @@ class Index:
             yield np.repeat(at, n), item[where], pos[where], m
 
 
+def _least_telling(n: np.ndarray | int) -> np.ndarray:
+    """How many of the telling words of a sentence that has `n` must be where it is held."""
+    return np.minimum(n, np.maximum(2, np.minimum(AROUND, n) // 2 + 1))
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as `n` says, one range after the other."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def grouped(index: Index, code: np.ndarray, begin: np.ndarray, least_share: float) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(document, item, hits) of the pairs that can hold the share: `code` has all documents, `begin` their starts.
+
+    A chain of hits meets sentences that lie within its reach of a hit, and of these only such
+    count as have enough of their telling words anywhere in the document; a pair is left out if
+    all that count have fewer own words than the share.
+    """
+    found = [(np.searchsorted(begin, d, "right") - 1, k, d, p, np.full(len(d), m)) for d, k, p, m in index.hits(code)]
+    if not found:
+        return
+    doc, item, at, pos, mask = (np.concatenate(c).astype(np.int64) for c in zip(*found))
+    pair, of = np.unique(doc * len(index.ids) + item, return_inverse=True)
+    lo = index.sentence[index.offset[item] + pos]
+    hi = index.sentence[np.minimum(index.offset[item] + pos + REACH, index.offset[item + 1] - 1)]
+    n = hi - lo + 1
+    met = np.unique(np.repeat(of, n) * len(index.own_words) + _ranges(lo, n))
+    met_pair, sentence = met // len(index.own_words), met % len(index.own_words)
+    if len(index.tell_words):
+        # (document, telling word) as one number, of all that are there
+        place = np.minimum(np.searchsorted(index.tell_words, code), len(index.tell_words) - 1)
+        there = np.flatnonzero(index.tell_words[place] == code)
+        present = np.unique((np.searchsorted(begin, there, "right") - 1) * len(index.tell_words) + place[there])
+        n = index.n_tells[sentence]
+        asked = np.repeat(pair[met_pair] // len(index.ids), n) * len(index.tell_words) + index.tells[_ranges(index.tell_at[sentence], n)]
+        known = np.minimum(np.searchsorted(present, asked), max(0, len(present) - 1))
+        held = np.concatenate([[0], np.cumsum(present[known] == asked)]) if len(present) else np.zeros(len(asked) + 1, np.int64)
+        ends = np.cumsum(n)
+        enough = held[ends] - held[ends - n] >= _least_telling(n)
+        met_pair, sentence = met_pair[enough], sentence[enough]
+    most = np.bincount(met_pair, index.own_words[sentence], len(pair))
+    kept = most >= least_share * index.n_own[pair % len(index.ids)]
+    some = np.flatnonzero(kept[of])
+    some = some[np.argsort(of[some], kind="stable")]
+    ends = np.flatnonzero(np.diff(of[some], append=-1)) + 1
+    for a, b in zip([0, *ends[:-1]], ends):
+        rows = some[a:b]
+        x = int(doc[rows[0]])
+        yield x, int(item[rows[0]]), list(zip((at[rows] - begin[x]).tolist(), pos[rows].tolist(), mask[rows].tolist()))
+
+
 def chains(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Hits (document position, item position, mask) chained: (first and last document position, same of the item)."""
     open_: list[list[int]] = []
@@ -154,6 +237,11 @@ def chains(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     return [tuple(c) for c in open_]
 
 
+def _near(same: np.ndarray, width: int) -> np.ndarray:
+    """Whether of the `width` nearest telling words more than half are the same, two at least where there are."""
+    return (same >= min(2, width)) & (2 * same > width)
+
+
 def verify(code: np.ndarray, index: Index, k: int, hits: list[tuple[int, int, int]], least: float = 0) -> int:
     """Own words of item `k` that the passages around the chains of `hits` hold; 0 if under `least`.
 
@@ -161,9 +249,9 @@ def verify(code: np.ndarray, index: Index, k: int, hits: list[tuple[int, int, in
     the chain puts it, so sentences may come in any order. Nothing is aligned if the sentences met
     have fewer own words than `least`.
     """
-    item, own, telling, bounds = index.code[k], index.own[k], index.telling[k], index.bounds[k]
+    item, own, bounds = index.code[k], index.own[k], index.bounds[k]
     held = np.zeros(len(item), bool)
-    done = set()
+    done, met_ = set(), []
     chained = [(c, range(bisect_right(bounds, c[2]) - 1, bisect_right(bounds, c[3] + MASKS[-1][-1]))) for c in chains(hits)]
     met = {x for _, xs in chained for x in xs}
     if sum((bounds[x + 1] if x + 1 < len(bounds) else len(item)) - bounds[x] for x in met if own[bounds[x]]) < least:
@@ -175,24 +263,37 @@ def verify(code: np.ndarray, index: Index, k: int, hits: list[tuple[int, int, in
             if not own[lo] or start >= end or (x, start // SLACK) in done:
                 continue
             done.add((x, start // SLACK))
-            tells = np.flatnonzero(telling[lo:hi])
-            # of the telling words nearest to each word: how many are there, how many equal
-            width = min(AROUND, len(tells))
-            words_, passage = item[lo:hi].tolist(), code[start:end].tolist()
+            tells, left, right, matcher = index.around(k, x)
+            words_, passage = index.words[k][x], code[start:end].tolist()
             there = set(passage)
-            if sum(words_[i] in there for i in tells.tolist()) < max(2, width // 2 + 1):
+            known = [words_[i] in there for i in tells]
+            if sum(known) < index.needed[k][x]:
                 continue
-            n = hi - lo
-            equal, joined, before = np.zeros(n, bool), np.zeros(n, bool), None
-            for i, j, size in SequenceMatcher(None, words_, passage, autojunk=False).get_matching_blocks():
-                if before is not None and size and 0 < i - before[0] <= 2 and j - before[1] <= 3:
-                    joined[before[0] : i] = True
-                equal[i : i + size] = True
-                before = (i + size, j + size)
-            left = np.clip(np.searchsorted(tells, np.arange(n)) - width // 2, 0, len(tells) - width)
-            right = np.concatenate([[0], np.cumsum(equal[tells])])
-            same = right[left + width] - right[left]
-            held[lo:hi] |= (equal | joined) & (same >= 2) & (2 * same > width)
+            # words near enough telling words, were all that are in the passage equal
+            upto = np.array([0, *accumulate(known)])
+            can = _near(upto[right] - upto[left], right[0] - left[0]) if tells else np.ones(hi - lo, bool)
+            if can.any():
+                met_.append((lo, hi, can, tells, left, right, matcher, passage))
+    could = np.zeros(len(item), bool)
+    for lo, hi, can, *_ in met_:
+        could[lo:hi] |= can
+    if int((could & own).sum()) < least:
+        return 0
+    for lo, hi, _, tells, left, right, matcher, passage in met_:
+        matcher.set_seq1(passage)
+        equal, joined, before = bytearray(hi - lo), bytearray(hi - lo), None
+        for j, i, size in matcher.get_matching_blocks():
+            if before is not None and size and 0 < i - before[0] <= 2 and j - before[1] <= 3:
+                joined[before[0] : i] = b"\1" * (i - before[0])
+            equal[i : i + size] = b"\1" * size
+            before = (i + size, j + size)
+        equal, joined = np.frombuffer(equal, bool), np.frombuffer(joined, bool)
+        if tells:
+            # of the telling words nearest to each word: how many are equal
+            upto = np.concatenate([[0], np.cumsum(equal[tells])])
+            held[lo:hi] |= (equal | joined) & _near(upto[right] - upto[left], right[0] - left[0])
+        else:  # a sentence of patterns alone tells nothing unless it is there as it is
+            held[lo:hi] |= equal.all()
     n_held = int((held & own).sum())
     return n_held if n_held >= least else 0
 
@@ -247,14 +348,14 @@ def blocks(items: DataFrame) -> Iterator[Index]:
     pairs = Counter(x for ss in sentences.values() for x in {x for s in ss if s not in common for x in zip(s, s[1:])})
     patterns = {x for x, n in pairs.items() if n > max(2 * least, PATTERN * len(sentences))}
     block, size = [], 0
-    for f, (ss, ids) in zip(family, classes.items()):
-        block.append((sorted(ids), f, [list(s) for s in ss]))
+    for ss, ids in classes.items():
+        block.append((sorted(ids), [list(s) for s in ss]))
         size += sum(map(len, ss))
         if size >= BLOCK_WORDS:
-            yield Index(block, common, patterns, least)
+            yield Index(block, common, patterns)
             block, size = [], 0
     if block:
-        yield Index(block, common, patterns, least)
+        yield Index(block, common, patterns)
 
 
 def leaks(documents: DataFrame, items: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
@@ -288,17 +389,16 @@ def _search(handle, least_share: float):
                     parts += [c, apart]
                     at += len(c) + len(apart)
                 begin = np.array(starts)
-                groups: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-                for d, k, p, m in index.hits(np.concatenate(parts)):
-                    doc = np.searchsorted(begin, d, "right") - 1
-                    for x, i, dd, pp in zip(doc.tolist(), k.tolist(), (d - begin[doc]).tolist(), p.tolist()):
-                        groups[x, i].append((dd, pp, m))
+                flat = np.concatenate(parts)
                 rows = []
-                for (x, i), hits in groups.items():
-                    own = int(index.own[i].sum())
+                for x, i, hits in grouped(index, flat, begin, least_share):
+                    own = int(index.n_own[i])
                     held = verify(code[x], index, i, hits, least_share * own)
                     if own and held >= least_share * own:
                         rows.extend((ids[first + x], item, held, own, held / own) for item in index.ids[i])
+                for x, i in index.whole(flat, begin):
+                    n = len(index.code[i])
+                    rows.extend((ids[first + x], item, n, n, 1.0) for item in index.ids[i])
                 if rows:
                     c = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays(

@@ -67,5 +67,43 @@ def test_passage_that_three_items_share(spark):
     assert {(0, 5), (0, 6), (0, 7)} <= run(spark, [passage], tests)
 
 
+def test_seeds_of_many_items_start_chains(spark):
+    """A passage that several items share, too few for it to be common, is found for each of them."""
+    rng = random.Random(12)
+    tests = [(i, " ".join(f"{rng.choice(NOUNS)}" for _ in range(40)) + ".", "clash") for i in range(200)]
+    passage = " ".join(rng.choice(NOUNS) for _ in range(30)) + "."
+    for i in range(4):
+        tests[i] = (i, tests[i][1] + " " + passage, "clash")
+    assert run(spark, ["before it " + passage], tests) == {(0, i) for i in range(4)}
+
+
+def test_short_items_word_for_word(spark):
+    tests = [(1, "Zebra quartz", ""), (2, "lone", ""), (3, "three small words", ""), *items(random.Random(3), 5)]
+    docs = ["a zebra  QUARTZ here", "zebra and quartz", "alone", "lone.", "small words three small", "three small words", ""]
+    assert run(spark, docs, tests) == {(0, 1), (3, 2), (5, 3)}
+
+
+def test_pre_check_loses_no_pair(spark):
+    """What is left out before alignment could not have been held: the same rows without that check."""
+    rng = random.Random(21)
+    tests = items(rng, 12)
+    index = next(leaks.blocks(spark.createDataFrame(tests, SCHEMA_I)))
+    share = 1 / 3
+    pool = [w for _, t, _ in tests for w in words(t)]
+    for n in range(60):
+        i = rng.randrange(12)
+        text = words(tests[i][1])
+        at = rng.randrange(len(text) - 20)
+        part = [w if rng.random() > 0.2 else rng.choice(pool) for w in text[at : at + rng.randint(10, 60)]]
+        code = leaks.codes([*rng.choices(pool, k=10), *part])
+        groups = {}
+        for d, k, p, m in index.hits(code):
+            for dd, kk, pp in zip(d.tolist(), k.tolist(), p.tolist()):
+                groups.setdefault(kk, []).append((dd, pp, m))
+        plain = {k: h for k, hits in groups.items() if (h := leaks.verify(code, index, k, hits)) >= share * index.n_own[k]}
+        kept = {k: leaks.verify(code, index, k, hits, share * index.n_own[k]) for _, k, hits in leaks.grouped(index, code, leaks.np.array([0]), share)}
+        assert {k: h for k, h in kept.items() if h >= share * index.n_own[k]} == plain
+
+
 def test_words():
     assert words("A <b>bo</b>ld [li­nk](http://x) café un-\nder \\u0041\\n&amp; саt") == ["a", "bold", "link", "cafe", "under", "a", "cat"]
