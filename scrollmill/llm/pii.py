@@ -5,14 +5,19 @@ found by their form and, where the form alone says too little, by the label befo
 have no form, so they are found by what terms reveal. A name stands in a frame (`Given Family`,
 `Given M. Family`, `Family, Given`, `G. Family`); frames of which the lexicon knows both parts
 are known persons, and the corpus tells from them how strongly the word before a frame reveals a
-person. A capitalised term outside the lexicon is worth the sum of what the words before its
-frames reveal, and of its occurrences in email addresses, which belong to persons. The mutual
-information of the term and a person is its disclosure, in bits: a term above the threshold, or
-one in the lexicon, is a part of names, and a frame of two such parts is a person.
+person. Every capitalised term is worth the sum of what its frames reveal: a known person all, any
+other frame what the word before it does, and one outside the lexicon its occurrences in email
+addresses too, which belong to persons. The mutual information of the term and a person is its
+disclosure, in bits. A term above the threshold, or one of the lexicon, may be a part of a name; a
+frame of two such parts is a person if at least one of them discloses above the threshold, so a
+lexicon's words that are mostly something else (`Mark`, `Branch`) make no person by themselves.
+
+In redaction a person's terms that disclose above the threshold are also removed where they stand
+alone in the same text: they would reveal who the placeholder stands for.
 
 One pass over the texts yields values of fixed form, frames, and counts of terms folded within
-each batch; only these small rows are written and shuffled, never the texts. The learned terms
-stay a table and are joined to the frames by term.
+each batch; only these small rows are written and shuffled, never the texts. What terms disclose
+stays a table and is joined to the frames by term.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from scrollmill.session import cut, spread
+from scrollmill.session import cut, small, spread
 
 #: Least disclosure of a term, in bits, for it to count as a part of names.
 LEAST_BITS = 1.0
@@ -67,7 +72,6 @@ _VALUE = {
     "drive": re.compile(r"[A-Z]\d{3}-?\d{4}-?\d{4}\b|[A-Z]{1,2}\d{5,12}\b", re.I),
 }
 _FORMED = re.compile(r"(?<![\w.+-])(?:\d{3}-\d{2}-\d{4}|QQ ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w-])")
-_LABEL_HINT = re.compile(r"(?i)ssn|social|nino|\bni |insurance|\bdni|\bnie\b|\bnif\b|steuer|tax id|\btin\b|pass|card|ausweis|licen")
 _DIGITS = re.compile(r"\d(?:[-.‐-―  ()/]{0,2}\d){6,}")
 _PHONE = re.compile(
     r"(?<![\w.+:@‐-―-])(?:"
@@ -94,9 +98,7 @@ _ADDRESS = re.compile(
     r"|(?:P\.?[ ]?O\.?[ ]Box|Postfach|Apartado)[ ]\d{2,6}\b"
     r")(?:,[ ](?:Apt|Unit|Suite|Flat|No)\.?[ ]\w+)?(?:,[ ]\d{1,2}º[ ][A-Z])?(?:(?:,[ ]|\n)(?:\d{5}[ ])?[A-Z][a-zà-ÿ]+(?:[ ]\d{5})?(?=[\s,.;\"]|$))?"
 )
-_STREET_HINT = re.compile(
-    rf"{_STREET}\b|straße|strasse|str\.|gasse|weg|platz|llee|damm|ufer|Calle|Avenida|Avda|Av\.|Plaza|Paseo|Camino|C/|rue |venue |allée|oulevard|chemin|place |impasse|quai |route |cours |Box|Postfach|Apartado"
-)
+_DIGIT, _TWO_DIGITS = re.compile(r"\d"), re.compile(r"\d\d")
 _WORD = re.compile(r"[a-z]{3,}")
 _LOWER = re.compile(r"(?<![\w@.+-])([a-z]{3,})(,[ ]|[ ][a-z]\.[ ]|[ ])([a-z]{3,})(?![\w@+]|[ ]?[\[(]at[\])])")
 _BEFORE = re.compile(r"(\S+)([ \t]*)(\n?)\s*$")
@@ -117,7 +119,9 @@ def formed(text: str) -> list[tuple[int, int, str]]:
         for m in _EMAIL.finditer(text):
             if not m[0].lower().startswith("git@"):
                 put(m.start(), m.end(), "email")
-    if _LABEL_HINT.search(text):
+    if not _DIGIT.search(text):
+        return out
+    if _TWO_DIGITS.search(text):
         for m in _LABELLED.finditer(text):
             if value := _VALUE[m.lastgroup if m.lastgroup != "value" else next(k for k in _VALUE if m[k])].match(text, m.start("value")):
                 put(value.start(), value.end(), "id_number")
@@ -126,9 +130,8 @@ def formed(text: str) -> list[tuple[int, int, str]]:
             put(m.start(), m.end(), "id_number")
         for m in _PHONE.finditer(text):
             put(m.start(), m.end(), "phone")
-    if _STREET_HINT.search(text):
-        for m in _ADDRESS.finditer(text):
-            put(m.start(), m.end(), "street_address")
+    for m in _ADDRESS.finditer(text):
+        put(m.start(), m.end(), "street_address")
     return out
 
 
@@ -184,8 +187,8 @@ def scan(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     """One pass over `items` (`item_table, item_id, text`): values, name frames and term counts.
 
     Rows of `what`: 'value' (a value of fixed form), 'frame' (a frame, its terms and whether the
-    lexicon has them, and the word before it), 'term' (a term outside the lexicon: its capitalised
-    occurrences `n` and those in email addresses), 'lower' (two names of the lexicon in small
+    lexicon has them, and the word before it), 'term' (a term, its capitalised occurrences `n`
+    and those in email addresses), 'lower' (two names of the lexicon in small
     letters) and 'plain' (a name of the lexicon and its occurrences in small letters). `lexicon` (`token,
     name_part`) is a list of fixed size and goes to every task.
     """
@@ -225,8 +228,7 @@ def scan(items: DataFrame, lexicon: DataFrame) -> DataFrame:
                                 out.append(("lower", table, item, None, m.start(), m.end(), given, family, True, True, None, None, None))
             out.extend(("plain", None, None, None, None, None, t, None, None, None, None, n, None) for t, n in plain.items())
             for t in total.keys() | mailed.keys():
-                if t not in known:
-                    out.append(("term", None, None, None, None, None, t, None, None, None, None, total[t], mailed[t]))
+                out.append(("term", None, None, None, None, None, t, None, t in known_given, t in known_family, None, total[t], mailed[t]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), _FIELDS)], [n for n, _ in _FIELDS])
 
@@ -245,34 +247,39 @@ def revealing(scanned: DataFrame) -> DataFrame:
 
 
 def disclosure(scanned: DataFrame) -> DataFrame:
-    """`term, part, bits` of the terms outside the lexicon that reveal a person, by part of the name.
+    """`term, part, in_lexicon, n, share, bits` of every term in a name frame, by part of the name.
 
     Bits are the mutual information of the term and a person: of the share of its occurrences
-    that reveal one, over that share for all terms. A term may be both parts.
+    that reveal one, over that share for all terms outside the lexicon. A term may be both parts.
     """
     frames_ = scanned.filter("what = 'frame'").join(revealing(scanned), "context", "left")
     reveals = F.coalesce("reveals", F.lit(0.0))
-    parts = F.array(
-        F.when(~F.col("is_given"), F.struct(F.col("given").alias("term"), F.lit("given").alias("part"))),
-        F.when(~F.col("is_family"), F.struct(F.col("family").alias("term"), F.lit("family").alias("part"))),
+    known = F.col("is_given") & F.col("is_family")
+    part = lambda c, name, own: F.struct(
+        F.col(c).alias("term"), F.lit(name).alias("part"), F.col(own).alias("in_lexicon"), F.when(F.col(own) & known, 1.0).otherwise(reveals).alias("w")
     )
+    parts = F.array(F.when(F.col("given").isNotNull(), part("given", "given", "is_given")), part("family", "family", "is_family"))
     worth = (
-        frames_.select(F.explode(F.array_compact(parts)).alias("x"), reveals.alias("w"))
-        .groupBy("x.term", "x.part")
-        .agg(F.sum("w").alias("worth"), F.count(F.lit(1)).alias("framed"))
+        frames_.select(F.explode(F.array_compact(parts)).alias("x"))
+        .groupBy("x.term", "x.part", "x.in_lexicon")
+        .agg(F.sum("x.w").alias("worth"), F.count(F.lit(1)).alias("framed"))
     )
-    seen = scanned.filter("what = 'term'").groupBy(F.col("given").alias("term")).agg(F.sum("n").alias("n"), F.sum("n_mail").alias("mail"))
-    both = worth.join(seen, "term").withColumn("told", F.col("worth") + F.least("mail", "framed"))
-    whole = both.agg(F.sum("told").alias("all_told")).join(seen.agg(F.sum("n").alias("all_n"))).select((F.col("all_told") / F.col("all_n")).alias("usual"))
-    share = F.least(F.lit(1.0), F.col("told") / F.col("n"))
-    bits = F.log2(share / F.col("usual"))
-    return (
-        both.filter("told > 0")
-        .join(F.broadcast(whole))
-        .select("term", "part", bits.alias("bits"), share.alias("share"))
-        .filter((F.col("share") >= LEAST_SHARE) & (F.col("bits") >= LEAST_BITS))
-        .select("term", "part", "bits")
+    seen = scanned.filter("what = 'term'").groupBy(F.col("given").alias("term")).agg(
+        F.sum("n").alias("n"), F.sum("n_mail").alias("mail"), F.bool_or(F.col("is_given") | F.col("is_family")).alias("listed")
     )
+    told = F.col("worth") + F.when(F.col("listed"), 0).otherwise(F.least("mail", "framed"))
+    both = worth.join(seen, "term").withColumn("told", told)
+    # one row each; what is usual is so of terms of which nothing is known beforehand
+    others = both.filter("not listed").agg(F.sum("told").alias("all_told"))
+    whole = others.join(seen.filter("not listed").agg(F.sum("n").alias("all_n"))).select(F.try_divide("all_told", "all_n").alias("usual"))
+    share = F.least(F.lit(1.0), F.try_divide(F.col("told"), F.col("n")))
+    bits = F.log2(share / F.greatest(F.coalesce("usual", F.lit(0.0)), F.lit(1e-9)))
+    return both.filter("told > 0").join(F.broadcast(whole)).select("term", "part", "in_lexicon", "n", share.alias("share"), bits.alias("bits"))
+
+
+def disclosing(terms: DataFrame) -> DataFrame:
+    """Of the result of `disclosure` the terms above the thresholds."""
+    return terms.filter((F.col("share") >= LEAST_SHARE) & (F.col("bits") >= LEAST_BITS))
 
 
 def small_letters(scanned: DataFrame) -> DataFrame:
@@ -286,7 +293,18 @@ def small_letters(scanned: DataFrame) -> DataFrame:
     rare = counted.join(plain, "term").filter("paired >= 0.5 * n").select("term")
     named = pairs.join(rare.select(F.col("term").alias("given"), F.lit(True).alias("a")), "given", "left")
     named = named.join(rare.select(F.col("term").alias("family"), F.lit(True).alias("b")), "family", "left")
-    return named.filter("a or b").select("item_table", "item_id", F.lit("person_name").alias("pii_type"), "start_char", "end_char")
+    return named.filter("a or b").select("item_table", "item_id", "start_char", "end_char", "given", "family")
+
+
+def persons(scanned: DataFrame, told: DataFrame) -> DataFrame:
+    """Frames and pairs in small letters that are persons, with the bits that their parts disclose (null below the thresholds)."""
+    given = told.filter("part = 'given'").groupBy(F.col("term").alias("given")).agg(F.max("bits").alias("given_bits"))
+    family = told.filter("part = 'family'").groupBy(F.col("term").alias("family")).agg(F.max("bits").alias("family_bits"))
+    columns = ["item_table", "item_id", F.lit("person_name").alias("pii_type"), "start_char", "end_char", "given", "family", "given_bits", "family_bits"]
+    rows = scanned.filter("what = 'frame'").join(given, "given", "left").join(family, "family", "left")
+    framed = rows.filter("(is_given or given_bits is not null) and (is_family or family_bits is not null) and coalesce(given_bits, family_bits) is not null")
+    lower = small_letters(scanned).join(given, "given", "left").join(family, "family", "left")
+    return framed.select(*columns).unionByName(lower.select(*columns))
 
 
 def spans(items: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -297,17 +315,10 @@ def spans(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     that starts first stays.
     """
     scanned = cut(scan(items, lexicon))
-    learned = cut(disclosure(scanned))
-    given = learned.filter("part = 'given'").select(F.col("term").alias("given"), F.lit(True).alias("learned_given"))
-    family = learned.filter("part = 'family'").select(F.col("term").alias("family"), F.lit(True).alias("learned_family"))
-    people = (
-        scanned.filter("what = 'frame'")
-        .join(given, "given", "left")
-        .join(family, "family", "left")
-        .filter("(is_given or learned_given) and (is_family or learned_family)")
-        .select("item_table", "item_id", F.lit("person_name").alias("pii_type"), "start_char", "end_char")
-        .unionByName(small_letters(scanned))
-    )
+    return _spans(scanned, persons(scanned, cut(disclosing(disclosure(scanned)))))
+
+
+def _spans(scanned: DataFrame, people: DataFrame) -> DataFrame:
     # frames of one text that share a term: the later one would claim a part of the earlier
     per_text = people.groupBy("item_table", "item_id", "pii_type").agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("all"))
     free = F.aggregate(
@@ -322,30 +333,61 @@ def spans(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     return values.distinct().unionByName(names)
 
 
-def redact(items: DataFrame, found: DataFrame) -> DataFrame:
-    """`item_table, item_id, text, n_replaced`: each span of `found` replaced by `[TYPE]`.
+def redact(items: DataFrame, found: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """`item_table, item_id, text, n_replaced, n_terms`: each span of `found` replaced by `[TYPE]`.
 
-    Texts without a span come back as they are. (item_table, item_id) is unique in `items`.
+    `terms` (`item_table, item_id, term`) are words in lower case that would still reveal a person of
+    the item: where one stands alone with a capital it becomes `[NAME]`, counted by `n_terms`. Texts
+    without a span come back as they are. (item_table, item_id) is unique in `items`. Texts are
+    shuffled only if the spans are too many to be sent to every task.
     """
-    marks = found.groupBy("item_table", "item_id").agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char", "pii_type"))).alias("marks"))
+    keys = ["item_table", "item_id"]
+    marks = found.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char", "pii_type"))).alias("marks"))
+    fits = small(found)
+    if terms is None:
+        marks = marks.withColumn("terms", F.lit(None).cast("array<string>"))
+    else:
+        marks = marks.join(terms.groupBy(*keys).agg(F.collect_set("term").alias("terms")), keys, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts = [], []
-            for text, spans_ in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            texts, counts, lone = [], [], []
+            for text, spans_, words in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                n = 0
                 if spans_ and text:
+                    known = frozenset(words or ())
+
+                    def plain(part: str) -> str:
+                        nonlocal n
+                        if not known:
+                            return part
+                        n += sum(m[0].lower() in known for m in _TERM.finditer(part))
+                        return _TERM.sub(lambda m: "[NAME]" if m[0].lower() in known else m[0], part)
+
                     parts, at = [], 0
                     for x in spans_:
                         if x["start_char"] >= at:
-                            parts += [text[at : x["start_char"]], f"[{x['pii_type'].upper()}]"]
+                            parts += [plain(text[at : x["start_char"]]), f"[{x['pii_type'].upper()}]"]
                             at = x["end_char"]
-                    text = "".join([*parts, text[at:]])
+                    text = "".join([*parts, plain(text[at:])])
                 texts.append(text)
                 counts.append(len(spans_ or ()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], ["item_table", "item_id", "text", "n_replaced"])
+                lone.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(lone, pa.int32())], [*keys, "text", "n_replaced", "n_terms"]
+            )
 
-    source = items.select("item_table", F.col("item_id").cast("bigint"), "text").join(marks, ["item_table", "item_id"], "left")
-    return source.mapInArrow(run, "item_table string, item_id bigint, text string, n_replaced int")
+    source = items.select("item_table", F.col("item_id").cast("bigint"), "text").join(F.broadcast(marks) if fits else marks, keys, "left")
+    return source.mapInArrow(run, "item_table string, item_id bigint, text string, n_replaced int, n_terms int")
+
+
+def redacted(items: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """`redact` with all that `spans` finds, and with the terms of each item's persons that disclose above the thresholds."""
+    scanned = cut(scan(items, lexicon))
+    people = cut(persons(scanned, cut(disclosing(disclosure(scanned)))))
+    told = F.array_compact(F.array(F.when(F.col("given_bits").isNotNull(), F.col("given")), F.when(F.col("family_bits").isNotNull(), F.col("family"))))
+    terms = people.select("item_table", "item_id", F.explode(told).alias("term")).distinct()
+    return redact(items, cut(_spans(scanned, people)), terms)
 
 
 def items_of(events: DataFrame, chunks: DataFrame) -> DataFrame:

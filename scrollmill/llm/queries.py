@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scrollmill.llm import conversations, leaks, mix, pii, split, truncation
 from scrollmill.operators import adapters
-from scrollmill.session import table
+from scrollmill.session import cut, table
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str, with_text: bool = True) -> DataFrame:
@@ -28,7 +28,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = pii.items_of(table(spark, sf_dir, "normalized_events"), table(spark, sf_dir, "search_chunks"))
-    return pii.redact(items, pii.spans(items, table(spark, sf_dir, "person_lexicon")))
+    return pii.redacted(items, table(spark, sf_dir, "person_lexicon"))
+
+
+def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the terms in name frames disclose, in bits, and whether that is above the thresholds."""
+    items = pii.items_of(table(spark, sf_dir, "normalized_events"), table(spark, sf_dir, "search_chunks"))
+    told = pii.disclosure(cut(pii.scan(items, table(spark, sf_dir, "person_lexicon"))))
+    return told.withColumn("discloses", (F.col("share") >= pii.LEAST_SHARE) & (F.col("bits") >= pii.LEAST_BITS))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +88,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_pieces, p3_found, p3_redacted, p4_found, p4_turns, p4_threads, p6_found, p6_items, p7_found, p7_shares, p7_selection, p8_found, p8_rates)
+    for f in (p2_found, p2_pieces, p3_found, p3_redacted, p3_terms, p4_found, p4_turns, p4_threads, p6_found, p6_items, p7_found, p7_shares, p7_selection, p8_found, p8_rates)
 }
 
 _MESSAGES = r"""

@@ -65,6 +65,34 @@ def test_names_known_learned_and_small(spark):
     assert out[at + 4] == ("Dr. [PERSON_NAME]", 1) and out[at + 6] == ("we mark stack here", 0) and out[len(texts) - 5][0] is None
 
 
+def test_words_that_are_also_names_need_a_part_that_discloses(spark):
+    texts = [f"Reviewed-by: {g} {f}." for g, f in [("Olana", "Kroftby"), ("Torvik", "Osterby")] * 6]
+    # `Mark` and `Stack` are names in the lexicon, here mostly words: together no person, with a known family one
+    texts += ["Mark the line. Mark it. Stack them. Stack up."] * 20 + ["Mark Stack", "Mark Kroftby"]
+    items, found, got = _spans(spark, texts)
+    names = {(i, v) for i, k, v in got if k == "person_name" and i >= 12}
+    assert names == {(len(texts) - 1, "Mark Kroftby")}
+    lexicon = spark.createDataFrame(LEXICON, "token string, name_part string")
+    told = {(r["term"], r["part"]): r for r in pii.disclosure(pii.scan(items, lexicon)).collect()}
+    assert told["olana", "given"]["share"] == 1 and told["mark", "given"]["share"] < pii.LEAST_SHARE
+
+
+def test_lone_terms_of_a_person_are_removed_too(spark):
+    texts = [f"Reviewed-by: {g} {f}." for g, f in [("Olana", "Kroftby"), ("Torvik", "Osterby")] * 6]
+    texts += ["Olana Kroftby came. Kroftby, that is Olana, left; kroftby mail.", "Kroftby alone", "Mark the time: Mark Kroftby said Kroftby's late.", "x", None, "", *["Mark it."] * 5]
+    items = spark.createDataFrame([("t", i, x, "clash") for i, x in enumerate(texts)], "item_table string, item_id bigint, text string, kind string")
+    lexicon = spark.createDataFrame(LEXICON, "token string, name_part string")
+    want = ["[PERSON_NAME] came. [NAME], that is [NAME], left; kroftby mail.", "Kroftby alone", "Mark the time: [PERSON_NAME] said [NAME]'s late.", "x", None, ""]
+    for most in (pii.small, lambda df: False):
+        pii.small, kept = most, pii.small
+        out = {r["item_id"]: r for r in pii.redacted(items, lexicon).collect()}
+        pii.small = kept
+        assert [out[12 + i]["text"] for i in range(6)] == want and [out[12 + i]["n_terms"] for i in range(4)] == [2, 0, 1, 0]
+
+
 def test_empty(spark):
-    _, found, got = _spans(spark, [None])
+    items, found, got = _spans(spark, [None])
     assert got == set() and found.count() == 0
+    empty = spark.createDataFrame([], "token string, name_part string")
+    assert [r["text"] for r in pii.redacted(items, empty).collect()] == [None]
+    assert pii.redacted(items.limit(0), empty).count() == 0
