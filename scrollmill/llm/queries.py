@@ -20,6 +20,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.filter("piece_no = 0 and n_pieces > 1").select("item_table", "item_id")
 
 
+def p2_rejoined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pieces of each oversized item keep to its limit, overlap as stated, and give the item back."""
+    limits = table(spark, sf_dir, "size_limits").select("item_table", "max_bytes", "overlap_bytes")
+    whole = split.rejoined(p2_pieces(spark, sf_dir)).join(F.broadcast(limits), "item_table")
+    # an overlap is short of what is stated by less than one character
+    return whole.select(
+        "item_table", "item_id", "digest", (F.col("n_most") <= F.col("max_bytes")).alias("fits"), (F.col("n_pieces") > 1).alias("is_cut"),
+        (F.col("n_overlap") * 4 > F.col("overlap_bytes") - 4).alias("overlaps"),
+    )
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = pii.items_of(table(spark, sf_dir, "normalized_events"), table(spark, sf_dir, "search_chunks"))
     found = pii.spans(items, table(spark, sf_dir, "person_lexicon"))
@@ -88,7 +99,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_pieces, p3_found, p3_redacted, p3_terms, p4_found, p4_turns, p4_threads, p6_found, p6_items, p7_found, p7_shares, p7_selection, p8_found, p8_rates)
+    for f in (p2_found, p2_pieces, p2_rejoined, p3_found, p3_redacted, p3_terms, p4_found, p4_turns, p4_threads, p6_found, p6_items, p7_found, p7_shares, p7_selection, p8_found, p8_rates)
 }
 
 _MESSAGES = r"""
@@ -134,6 +145,14 @@ ORACLE = {
         select 'raw_records', record_id from raw_records
         where strlen(line) > (select max_bytes from size_limits where item_table = 'raw_records')
     """,
+    "p2_rejoined": """
+        with item as (
+            select 'search_chunks' as item_table, chunk_id as item_id, text from search_chunks
+            union all select 'indexed_files', file_id, json_extract_string(nullif(open_turn_state, ''), '$.pending.text') from indexed_files
+            union all select 'raw_records', record_id, line from raw_records
+        )
+        select item.item_table, item_id, md5(text) as digest, true as fits, true as is_cut, true as overlaps
+        from item join size_limits on item.item_table = size_limits.item_table where strlen(text) > max_bytes""",
     "p4_found": _MESSAGES + "select agent, session_id, reason from verdict where reason is not null",
     "p4_turns": _MESSAGES
     + """select s.agent, s.session_id, s.turn, case s.said when 1 then 'user' else 'assistant' end as role, s.message_id

@@ -65,8 +65,12 @@ def atoms(text: str, room: int) -> list[tuple[int, int, int]]:
             at, pos = 0, start
             while at < len(data):
                 stop = min(at + room, len(data))
-                while stop < len(data) and stop > at + 1 and data[stop] & 0xC0 == 0x80:
+                while stop > at and stop < len(data) and data[stop] & 0xC0 == 0x80:
                     stop -= 1
+                if stop == at:  # a character larger than the room stands alone
+                    stop += 1
+                    while stop < len(data) and data[stop] & 0xC0 == 0x80:
+                        stop += 1
                 pos += len(data[at:stop].decode("utf-8", "surrogatepass"))
                 out.append((pos, stop - at, len(LEVELS) if stop < len(data) else after))
                 at = stop
@@ -117,12 +121,13 @@ def pieces(text: str, max_bytes: int, overlap_bytes: int) -> list[tuple[int, int
     """(start, overlap end, end, boundary at the end) of the pieces of `text`, in characters.
 
     One piece if the text fits. The overlap is at most `overlap_bytes`, less where a character
-    would be cut, and is lowered to half the limit if it leaves no room beside itself.
+    would be cut, and is lowered to half the limit if that is less. No piece is over the limit,
+    unless the limit is too small for one character.
     """
     if _size(text, 0, len(text)) <= max_bytes:
         return [(0, 0, len(text), "end")]
     overlap = min(max(0, overlap_bytes), max_bytes // 2)
-    room = max(4, max_bytes - overlap)
+    room = max(1, max_bytes - overlap)
     out, start = [], 0
     for end, level in merge(atoms(text, room), room):
         out.append((_back(text, start, overlap) if start else 0, start, end, _NAMES[level] if end < len(text) else "end"))
@@ -133,11 +138,11 @@ def pieces(text: str, max_bytes: int, overlap_bytes: int) -> list[tuple[int, int
 _FIELDS = [
     ("item_table", pa.string()), ("item_id", pa.int64()), ("piece_no", pa.int32()), ("n_pieces", pa.int32()),
     ("start_char", pa.int64()), ("overlap_chars", pa.int64()), ("end_char", pa.int64()), ("n_bytes", pa.int64()),
-    ("boundary", pa.string()), ("text", pa.string()),
+    ("boundary", pa.string()), ("is_overlap_lowered", pa.bool_()), ("text", pa.string()),
 ]
 _DDL = (
     "item_table string, item_id bigint, piece_no int, n_pieces int, start_char bigint, overlap_chars bigint,"
-    " end_char bigint, n_bytes bigint, boundary string, text string"
+    " end_char bigint, n_bytes bigint, boundary string, is_overlap_lowered boolean, text string"
 )
 
 
@@ -146,7 +151,8 @@ def split_oversized(items: DataFrame, with_text: bool = True) -> DataFrame:
 
     `items` has `item_table, item_id, text, max_bytes, overlap_bytes`. Null texts, null limits and
     texts within the limit give no row: they stay as they are. Joining `text` from `overlap_chars`
-    on in the order of `piece_no` gives the item back. Repeated items are split each.
+    on in the order of `piece_no` gives the item back. `is_overlap_lowered` tells that the stated
+    overlap is over half the limit, to which it was lowered. Repeated items are split each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +162,7 @@ def split_oversized(items: DataFrame, with_text: bool = True) -> DataFrame:
                 rows = []
                 for k, (start, core, end, name) in enumerate(cuts):
                     part = text[start:end]
-                    rows.append((table, item, k, len(cuts), start, core - start, end, len(part.encode()), name, part if with_text else None))
+                    rows.append((table, item, k, len(cuts), start, core - start, end, len(part.encode()), name, overlap > most // 2, part if with_text else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _FIELDS)], [n for n, _ in _FIELDS])
 
     large = items.filter(F.octet_length("text") > F.col("max_bytes")).select(
@@ -165,6 +171,21 @@ def split_oversized(items: DataFrame, with_text: bool = True) -> DataFrame:
     return large.mapInArrow(run, _DDL)
 
 
+def rejoined(pieces_: DataFrame) -> DataFrame:
+    """`item_table, item_id, digest, n_pieces, n_most, n_overlap`: items put together again from their pieces.
+
+    `digest` is of the text without overlaps, `n_most` the bytes of the largest piece, `n_overlap`
+    the least overlap in characters between neighbours. The pieces of one item are as many as one
+    text has. Items repeated under one id are not told apart.
+    """
+    core = F.substring(F.col("text"), F.col("overlap_chars").cast("int") + 1, F.length("text"))
+    whole = F.array_sort(F.collect_list(F.struct("piece_no", core.alias("core"))))
+    return pieces_.groupBy("item_table", "item_id").agg(
+        F.md5(F.array_join(F.transform(whole, lambda x: x["core"]), "").cast("binary")).alias("digest"), F.count(F.lit(1)).alias("n_pieces"),
+        F.max("n_bytes").alias("n_most"), F.min(F.when(F.col("piece_no") > 0, F.col("overlap_chars"))).alias("n_overlap"),
+    )
+
+
 def items_of(chunks: DataFrame, files: DataFrame, records: DataFrame, limits: DataFrame) -> DataFrame:
     """The texts under a size limit of the three tables, each with its limit (`limits` is a few rows)."""
     pending = F.get_json_object("open_turn_state", "$.pending.text")

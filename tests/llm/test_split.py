@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 from hypothesis import given, settings, strategies as st
@@ -40,3 +41,20 @@ def test_operator(spark):
     assert all(r["n_pieces"] > 1 for r in got) and max(r["n_bytes"] for r in got) <= 20
     empty = split.items_of(chunks.limit(0), files.limit(0), records.limit(0), limits)
     assert split.split_oversized(empty).count() == 0
+
+
+def test_small_limits_and_rejoining(spark):
+    for most in range(1, 12):
+        for overlap in (0, 1, most, 99):
+            text = "aé日𝄞 b. cd\n\nxyz" * 4
+            parts = split.pieces(text, most, overlap)
+            assert "".join(text[core:end] for _, core, end, _ in parts) == text
+            assert all(len(text[s:e].encode()) <= most or e - c == 1 for s, c, e, _ in parts)
+            if most >= 8:
+                assert all(len(text[s:e].encode()) <= most for s, c, e, _ in parts)
+    items = spark.createDataFrame([("t", 1, "one two three. " * 20, 64, 16), ("t", 2, "日本" * 40, 64, 60), ("t", 3, None, 64, 16), ("t", 4, "", 64, 16)], "item_table string, item_id bigint, text string, max_bytes int, overlap_bytes int")
+    pieces = split.split_oversized(items)
+    got = {r["item_id"]: r for r in split.rejoined(pieces).collect()}
+    assert set(got) == {1, 2} and got[1]["n_most"] <= 64 and got[1]["n_overlap"] >= 13
+    assert got[2]["digest"] == hashlib.md5(("日本" * 40).encode()).hexdigest()
+    assert {r["item_id"]: r["is_overlap_lowered"] for r in pieces.collect()} == {1: False, 2: True}
