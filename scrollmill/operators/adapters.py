@@ -80,8 +80,20 @@ def repository_label(url: Column) -> Column:
 
 
 def parse(records: DataFrame) -> DataFrame:
-    """`records` (agent, line, …) with `v`, the parsed object; null for malformed or oversized lines."""
-    return once(spread(records), "v", F.when(F.octet_length("line") <= MOST_BYTES, F.try_parse_json("line")))
+    """`records` (agent, line, …) with `v`, the parsed object; null for lines that are no complete JSON object, or oversized.
+
+    The parser reads one value and passes over what follows it, so a line is read as the one element
+    of an array, followed by a mark in the array around it: what is left open, closed too early or
+    follows is then an error or moves the mark.
+    """
+    held = F.try_parse_json(F.concat(F.lit("[["), "line", F.lit(f"],{_MARK}]")))
+    whole = once(spread(records), "_held", F.when(F.octet_length("line") <= MOST_BYTES, held))
+    marked = F.try_variant_get("_held", "$[1]", "bigint").eqNullSafe(F.lit(_MARK)) & get(F.col("_held"), "$[0][1]").isNull()
+    return once(whole, "v", F.when(marked & F.col("line").rlike(r"^\s*\{"), get(F.col("_held"), "$[0][0]"))).drop("_held")
+
+
+#: Any number that no record holds at its top level.
+_MARK = 724_339_187_265
 
 
 def _either(v: Column, *paths: str) -> Column:
@@ -167,7 +179,7 @@ def observed(records: DataFrame) -> DataFrame:
     found = facts(_with_speech(parse(records)))
     return found.select(
         *(c for c in records.columns if c != "line"), *_event(), *FACTS,
-        (~F.coalesce(is_type(F.col("v"), "OBJECT"), F.lit(False))).alias("is_malformed"),
+        F.col("v").isNull().alias("is_malformed"),
     )
 
 

@@ -72,3 +72,10 @@ def test_served_and_live(spark):
 
 def test_observe(tmp_path):
     assert enrich.observe(str(tmp_path))["root"] is None
+
+
+def test_only_complete_objects_are_records(spark):
+    good = ['{"a":1}', ' {"a":[{"b":1}]} ', "{}"]
+    bad = ['{"a":1} x', '{"a":1}]', '{"a":1}}', '{"a":1}]}', '{"a":1}]}}', '{"a":1},{"b":2}', '{"a":1}],[{"b":2}', '{"a":1},"z":2', '"type": "u"', "[1]", '{"a":1', "", "{", None, "3", '{"a":NaN}']
+    rows = adapters.parse(spark.createDataFrame([(0, x) for x in good + bad], "agent int, line string"))
+    assert sorted(r["line"] for r in rows.filter("v is not null").collect()) == sorted(good)
