@@ -7,6 +7,7 @@ without the diacritics of Latin letters. Everything stays in the JVM: folding is
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -100,6 +101,19 @@ def clean_terminal(text: Column) -> Column:
     return F.regexp_replace(text, "[\\p{Cc}‎‏‪-‮⁦-⁩؜]", " ")
 
 
+def prefix_end(prefix: str) -> str:
+    """The least text above all texts that begin with `prefix`, by code points; surrogates are none.
+
+    A prefix of the last code point alone has no such bound: one a character longer is given.
+    """
+    kept = prefix
+    while kept:
+        kept, last = kept[:-1], ord(kept[-1]) + 1
+        if last <= sys.maxunicode:
+            return kept + chr(0xE000 if 0xD800 <= last < 0xE000 else last)
+    return chr(sys.maxunicode) * (len(prefix) + 1)
+
+
 _WIDTHS = re.compile(r"\s+")
 
 

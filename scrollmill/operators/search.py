@@ -331,3 +331,15 @@ def output_lines(results: DataFrame) -> DataFrame:
             F.regexp_replace(F.coalesce("snippet", F.lit("")), r"[\p{Cc}]", " "),
         ).alias("line")
     )
+
+
+def percentiles(times: DataFrame, value: str, at: list[int]) -> DataFrame:
+    """`p, value` for each percent of `at`: the value at place n * p / 100 of the sorted ones, at most the last."""
+    kept = times.select(F.col(value).alias("value")).filter("value is not null")
+    n = kept.agg(F.count(F.lit(1)).alias("n"))
+    wanted = n.select(F.explode(F.array(*map(F.lit, at))).alias("p"), F.least(F.floor(F.col("n") * F.col("p") / 100), F.col("n") - 1).cast("bigint").alias("place"))
+    # values counted by how often they occur: what is put in one order is the different values
+    counted_ = kept.groupBy("value").agg(F.count(F.lit(1)).alias("c"))
+    upto = counted_.withColumn("upto", F.sum("c").over(Window.orderBy("value")))
+    hit = upto.join(F.broadcast(wanted), (F.col("place") >= F.col("upto") - F.col("c")) & (F.col("place") < F.col("upto")))
+    return hit.select("p", "value")

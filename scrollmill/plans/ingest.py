@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scrollmill.functions.tokens import CONTROLS
 from scrollmill.operators import adapters, chunks, enrich, postings
 from scrollmill.session import attach, cut
 from scrollmill.sources import jsonl
@@ -55,8 +56,13 @@ class Report:
 
     def summary(self) -> str:
         """The line that is printed after a scan."""
-        failed = f" ({self.failed} failed)" if self.failed else ""
-        return f"indexed {self.files} files{failed}, {self.records} records ({self.bytes} bytes, {self.chunks} chunks; {self.malformed} malformed)"
+        more = "".join(f", {n} {what}" for n, what in ((self.deferred, "deferred"), (self.skipped, "unchanged")) if n)
+        return f"indexed {self.files} files ({self.failed} failed{more}), {self.records} records ({self.bytes} bytes, {self.chunks} chunks; {self.malformed} malformed)"
+
+    def notes(self) -> list[str]:
+        """A line for each error told, and one for all files that were left for the next scan."""
+        late = [f"{self.deferred} file(s) changed while being read and were left for the next run"] if self.deferred else []
+        return [f"indexing error: {CONTROLS.sub('�', e)}" for e in self.errors] + late
 
 
 def newest(rows: DataFrame, keys: list[str]) -> DataFrame:

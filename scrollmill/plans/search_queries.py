@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scrollmill.functions.tokens import clean_controls, clean_terminal
-from scrollmill.operators import adapters, chunks, enrich, postings, search
+from scrollmill.operators import adapters, chunks, enrich, hosts, postings, search
 from scrollmill.plans.query_language import expression
 from scrollmill.session import shared_folder, table
 from scrollmill.sources import jsonl
@@ -192,6 +192,33 @@ def resume_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "sessions").select("native_id", enrich.resume_name(F.col("native_id")).alias("name")).distinct()
 
 
+def _host(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sessions, and a host that has a workspace at some of their folders and agents in some of these."""
+    known = table(spark, sf_dir, "sessions")
+    folders = known.select("cwd").dropna().distinct().filter(F.length("cwd") % 4 != 0)
+    workspaces = folders.select(F.md5(F.col("cwd").cast("binary")).alias("workspace_id"), "cwd", F.lit(0).alias("place"))
+    turn = F.col("source_file_id") % 5
+    agents = known.filter(turn < 3).select(
+        F.concat("native_id", F.lit(":"), "source_file_id").alias("id"), F.md5(F.col("cwd").cast("binary")).alias("workspace_id"), "agent",
+        F.when(turn == 0, F.col("native_id")).alias("session_id"), F.when(turn == 1, enrich.resume_name(F.col("native_id"))).alias("name"), "cwd",
+    )
+    return known, workspaces, agents
+
+
+def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, workspaces, agents = _host(spark, sf_dir)
+    return hosts.matching(known, workspaces, agents)
+
+
+def sole_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known, workspaces, agents = _host(spark, sf_dir)
+    return hosts.sole_in_folder(known, workspaces, agents)
+
+
+def sessions_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "sessions").select("native_id", "agent", "source_file_id", "cwd").orderBy("native_id", "agent", "source_file_id")
+
+
 def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(clean_controls(F.col("text")).cast("binary")).alias("report"), F.md5(clean_terminal(F.col("text")).cast("binary")).alias("terminal"))
@@ -382,6 +409,14 @@ _TARGET = (
 )
 _BARE = r"regexp_replace(regexp_replace(trim(repository_url), '/+$', ''), '\.git$', '')"
 
+# A name under which a session is resumed stands for its id, so that it need not be spelled here.
+_HOST = """
+    with s as (select distinct agent, native_id, cwd, coalesce(regexp_full_match(native_id, '[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}'), false) as uuid from sessions),
+    w as (select distinct md5(cwd) as workspace_id, cwd from sessions where cwd is not null and length(cwd) % 4 <> 0),
+    a as (select native_id || ':' || source_file_id as id, md5(cwd) as workspace_id, agent, case when source_file_id % 5 = 0 then native_id end as session_id,
+        case when source_file_id % 5 = 1 then native_id end as named, cwd from sessions where source_file_id % 5 < 3)
+"""
+
 ORACLE = {name: hits_sql(name) + "select chunk_id, round(score, 6) as score from hit" for name in TYPED} | {
     "search_top": hits_sql("search_top") + "select chunk_id, round(score, 6) as score from hit order by hit.score, agent, native_id, ordinal, chunk_id limit 50",
     "search_fallback": hits_sql("search_fallback")
@@ -457,6 +492,13 @@ ORACLE = {name: hits_sql(name) + "select chunk_id, round(score, 6) as score from
     "resume_plans": """
         select distinct agent, native_id, case when regexp_full_match(native_id, '[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}')
             then case when agent = 0 then 'claude --resume ' || native_id when agent = 1 then 'codex resume ' || native_id end end as argv from sessions""",
+    "sessions_in_order": "select native_id, agent, source_file_id, cwd from sessions order by native_id, agent, source_file_id",
+    "live_sessions": _HOST + """
+        select s.agent, s.native_id, min(a.id) as id from s join w on s.cwd = w.cwd join a on a.agent = s.agent and a.workspace_id = w.workspace_id
+        where s.uuid and case when a.session_id is not null then a.session_id = s.native_id else a.named = s.native_id end group by all having count(*) = 1""",
+    "sole_agents": _HOST + """
+        select s.agent, s.native_id, min(a.id) as id from s join w on s.cwd = w.cwd join a on a.agent = s.agent and a.workspace_id = w.workspace_id
+        where a.cwd = s.cwd group by all having count(*) = 1""",
     "newest_session_rows": """
         select agent, native_id, arg_max(source_file_id, (source_generation, source_end, source_file_id)) as file, count(*) as n_rows from sessions group by all""",
     "clean_texts": r"""
@@ -469,6 +511,6 @@ QUERIES = {name: _hits(name) for name in TYPED} | {
     for f in (
         search_top, search_fallback, search_prioritized, search_lines, search_marks, vocabulary, near_words, status_counts, sessions_by_agent,
         top_sessions, next_file_id, file_actions, file_changes, complete_fingerprints, transcript_events, transcript_sessions, event_chunks, event_chunk_texts, open_turns, session_labels,
-        session_availability, resume_plans, resume_names, clean_texts, newest_session_rows,
+        session_availability, resume_plans, resume_names, live_sessions, sole_agents, sessions_in_order, clean_texts, newest_session_rows,
     )
 }

@@ -45,11 +45,17 @@ class TailReader(DataSourceStreamReader):
         return {p: last_line_end(p, 0, os.path.getsize(p)) for p in discover(self.roots) or []}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        return [Range(p, a, b, stop) for p, stop in sorted(end.items()) if stop > start.get(p, 0) for _, a, b in ranges(p, start.get(p, 0), stop)]
+        # a file that became shorter is another one: it is read anew
+        begin = {p: start.get(p, 0) if stop >= start.get(p, 0) else 0 for p, stop in end.items()}
+        return [Range(p, a, b, stop) for p, stop in sorted(end.items()) for _, a, b in ranges(p, begin[p], stop)]
 
     def read(self, partition: Range):
         for a, b, data in records(partition.path, partition.start, partition.end, partition.stop):
-            yield partition.path, a, b, None if data is None else data.decode("utf-8", "replace")
+            try:
+                line = None if data is None else data.decode()
+            except UnicodeDecodeError:  # malformed, as in the batch reader
+                line = None
+            yield partition.path, a, b, line
 
     def commit(self, end: dict) -> None:
         return None

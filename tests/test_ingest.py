@@ -42,7 +42,7 @@ def test_scan_append_rescan_and_rebuild(spark, place):
     got = ingest.ingest(store, roots)
     assert (got.files, got.skipped, got.records, got.malformed, got.failed, got.chunks) == (2, 0, 3, 1, 0, 1)
     assert got.bytes == len(first) + b.stat().st_size
-    assert got.summary() == f"indexed 2 files, 3 records ({got.bytes} bytes, 1 chunks; 1 malformed)"
+    assert got.summary() == f"indexed 2 files (0 failed), 3 records ({got.bytes} bytes, 1 chunks; 1 malformed)"
     assert found(store) == [("a.jsonl", "s1", 0, 0, "first question", False), ("a.jsonl", "s1", 1, 1, "an answer", True), ("b.jsonl", "unidentified-source-2", 0, 0, "question in b", True)]
     assert ids(store, "answer") == ["an answer"]
     sessions = {r["native_id"]: r for r in ingest.sessions(store).collect()}
@@ -130,7 +130,8 @@ def test_faults_and_conflicts(spark, place, monkeypatch):
     monkeypatch.undo()
     assert ingest.ingest(store, roots, stop=lambda: True).stopped
     assert ingest.ingest(Store(spark, store.root + "2"), {0: [], 1: ["/missing"]}) == Report()
-    assert Report(failed=1, files=3).summary().startswith("indexed 3 files (1 failed), 0 records")
+    assert Report(failed=1, files=3, skipped=2, deferred=1).summary().startswith("indexed 3 files (1 failed, 1 deferred, 2 unchanged), 0 records")
+    assert Report(deferred=2, errors=["a\x07b"]).notes() == ["indexing error: a�b", "2 file(s) changed while being read and were left for the next run"]
 
 
 def test_git_of_each_folder_once(spark, place):
