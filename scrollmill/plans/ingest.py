@@ -16,6 +16,7 @@ for the next scan, faulty ones reported; neither holds up the others.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -299,6 +300,32 @@ def _session_rows(rows: DataFrame, made: DataFrame, git: Callable[[str], dict] |
     return whole.unionByName(other, allowMissingColumns=True)
 
 
+def write_transcripts(lines: DataFrame, folder: str) -> None:
+    """Append `lines` (`agent, file_id, byte_start, line`) to a transcript file each in the order of bytes, `folder/agent-A/ID.jsonl`.
+
+    A file is written by one task, as appending is. A task that is retried would append twice: this is for
+    making test folders. Other columns are not read.
+    """
+
+    def run(batches):
+        path, out = None, None
+        for batch in batches:
+            for agent, file_id, line in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3))):
+                if path != (agent, file_id):
+                    if out is not None:
+                        out.close()
+                    path = (agent, file_id)
+                    os.makedirs(f"{folder}/agent-{agent}", exist_ok=True)
+                    out = open(f"{folder}/agent-{agent}/{file_id}.jsonl", "a", encoding="utf-8", newline="")
+                out.write(line + "\n")
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32())], ["n"])
+
+    rows = lines.select("agent", "file_id", "byte_start", "line").repartition("agent", "file_id").sortWithinPartitions("agent", "file_id", "byte_start")
+    rows.mapInArrow(run, "n int").count()
+
+
 def tidy(store: Store, files: int = 1) -> int:
     """Rewrite the tables without the rows that no longer count, remove old parts; the version made."""
     base = store.version

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scrollmill.functions.tokens import clean_controls, clean_terminal
 from scrollmill.operators import adapters, chunks, enrich, hosts, postings, search
 from scrollmill.plans.query_language import expression
-from scrollmill.session import shared_folder, table
+from scrollmill.plans import ingest
+from scrollmill.session import local_path, shared_folder, table
 from scrollmill.sources import jsonl
+from scrollmill.sources.store import Store
 
 # What the search queries ask for.
 TYPED = {
@@ -157,6 +159,23 @@ def event_chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("agent", "source_file_id", "source_generation", "ordinal", "kind", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+def ingested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw records written as transcript files, ingested in two scans, and the chunks of the store.
+
+    The second scan finds every file longer by its later half of records, so open turns go on.
+    """
+    folder = local_path(shared_folder(spark, "transcripts"))
+    lines = table(spark, sf_dir, "raw_records").groupBy("file_id", "byte_start").agg(F.first("agent").alias("agent"), F.first("line").alias("line"))
+    lines = lines.select("file_id", "agent", "byte_start", F.coalesce("line", F.lit("")).alias("line"))
+    store = Store(spark, f"{folder}/store")
+    for later in (False, True):
+        ingest.write_transcripts(lines.filter((F.pmod("byte_start", F.lit(1 << 40)) >= F.lit(20_000)) == later), folder)
+        ingest.ingest(store, {a: [f"{folder}/agent-{a}"] for a in (0, 1)})
+    found = ingest.live(store, store.read("chunks"))
+    name = F.regexp_extract("source_path", r"(\d+)\.jsonl$", 1).cast("bigint")
+    return found.select("agent", name.alias("file_id"), "ordinal", "kind", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def open_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns that are open in the committed files, and whether their states are valid."""
     files = table(spark, sf_dir, "indexed_files").select(
@@ -363,7 +382,7 @@ _CHUNKS = r"""
         select distinct on (agent, source_file_id, source_generation, native_id, source_start, kind, body) agent, source_file_id as f, source_generation as g, native_id, source_start, kind, body,
             min(source_end) over (partition by agent, source_file_id, source_generation, native_id, source_start, kind, body) as source_end
         from (select *, trim(regexp_replace(text, '[\s\x0b\x85\p{Z}]+', ' ', 'g')) as body from normalized_events where kind in (0, 1)) where body <> ''
-    ), marked as (
+    )""" + (_FOLD := r""", marked as (
         select *, case when kind = 1 and lag(kind) over w = 1 and lag(native_id) over w = native_id then 0 else 1 end as begins from event
         window w as (partition by agent, f, g order by source_start, source_end, kind, native_id)
     ), run as (
@@ -384,10 +403,27 @@ _CHUNKS = r"""
     ), piece as (
         select agent, f, g, run, kind, place, unnest(range(0, len(ends) + 1)) as k, body, ends from cut
     )
-    select agent, f as source_file_id, g as source_generation, row_number() over (partition by agent, f, g order by run, place, k) - 1 as ordinal, kind,
-        md5(substr(body, case when k = 0 then 1 else ends[k] + 1 end, case when k = len(ends) then length(body) else ends[k + 1] - case when k = 0 then 0 else ends[k] end end)) as digest
-    from piece
-"""
+    , made as (
+        select agent, f, g, row_number() over (partition by agent, f, g order by run, place, k) - 1 as ordinal, kind,
+            md5(substr(body, case when k = 0 then 1 else ends[k] + 1 end, case when k = len(ends) then length(body) else ends[k + 1] - case when k = 0 then 0 else ends[k] end end)) as digest
+        from piece
+    )
+""") + "select agent, f as source_file_id, g as source_generation, ordinal, kind, digest from made"
+_INGESTED = (
+    _EVENTS
+    + rf""", id as (
+        select distinct on (file_id, byte_start) file_id, byte_start, case when agent = 0 then {_EITHER('$.sessionId', '$.session_id')}
+            when {_TEXT(('line', '$.type'))} = 'session_meta' then coalesce({_TEXT(('p', '$.id'))}, {_TEXT(('line', '$.session_id'))}) end as named from part where is_object
+    ), held as (select file_id, byte_start, coalesce(last_value(named ignore nulls) over (partition by file_id order by byte_start rows unbounded preceding), '-') as native_id from id),
+    event as (
+        select distinct on (g.file_id, g.byte_start) g.agent, g.file_id as f, 0 as g, held.native_id, g.byte_start as source_start, g.byte_start as source_end,
+            case speaker when 'user' then 0 else 1 end as kind, trim(regexp_replace(said, '[\s\x0b\x85\p{{Z}}]+', ' ', 'g')) as body
+        from heard join good g on heard.record_id = g.record_id join held on held.file_id = g.file_id and held.byte_start = g.byte_start
+        where speaker is not null and regexp_matches(said, '[^\s\x0b\x85\p{{Z}}]')
+    )""".replace("\\\\", "\\")
+    + _FOLD
+    + "select agent, f as file_id, ordinal, kind, digest from made"
+)
 _POWERS = ", ".join(f"{36**k}::uhugeint" for k in range(24, -1, -1))
 
 _SAME_SOURCE = " and ".join(f"x.{c} is not distinct from l.{c}" for c in ("source_path", "source_file_id", "source_generation", "source_start", "source_end"))
@@ -466,6 +502,7 @@ ORACLE = {name: hits_sql(name) + "select chunk_id, round(score, 6) as score from
         where speaker is not null and regexp_matches(said, '[^\s\x0b\x85\p{Z}]')""",
     "transcript_sessions": _SESSIONS,
     "event_chunk_texts": _CHUNKS,
+    "ingested_chunks": _INGESTED,
     "resume_names": f"""
         with id as (select distinct native_id, case when regexp_full_match(native_id, '[0-9A-Fa-f]{{8}}(-[0-9A-Fa-f]{{4}}){{3}}-[0-9A-Fa-f]{{12}}') then lower(replace(native_id, '-', '')) end as h from sessions),
         number as (select native_id, case when h is not null then ('0x' || substr(h, 1, 16))::ubigint::uhugeint * 18446744073709551616::uhugeint + ('0x' || substr(h, 17))::ubigint::uhugeint end as n from id)
@@ -510,7 +547,7 @@ QUERIES = {name: _hits(name) for name in TYPED} | {
     f.__name__: f
     for f in (
         search_top, search_fallback, search_prioritized, search_lines, search_marks, vocabulary, near_words, status_counts, sessions_by_agent,
-        top_sessions, next_file_id, file_actions, file_changes, complete_fingerprints, transcript_events, transcript_sessions, event_chunks, event_chunk_texts, open_turns, session_labels,
+        top_sessions, next_file_id, file_actions, file_changes, complete_fingerprints, transcript_events, transcript_sessions, event_chunks, event_chunk_texts, ingested_chunks, open_turns, session_labels,
         session_availability, resume_plans, resume_names, live_sessions, sole_agents, sessions_in_order, clean_texts, newest_session_rows,
     )
 }

@@ -48,6 +48,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def local_path(folder: str) -> str:
+    """The path under which the file system shows a shared folder; refused where it is no mounted one."""
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError(f"{folder} is not mounted: transcripts and stores need a folder that every machine shows as a path")
+    return folder.removeprefix("file://") if "://" in folder else folder.removeprefix("file:")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` written once to the checkpoint folder and read back, its lineage cut."""
     checkpoint_dir(df.sparkSession)
