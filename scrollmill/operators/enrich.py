@@ -61,6 +61,26 @@ def recovery_options(sessions: DataFrame, paths: DataFrame) -> DataFrame:
     )
 
 
+def availability_of(keys: DataFrame, sessions: DataFrame, paths: DataFrame) -> DataFrame:
+    """`agent, native_id, availability, options` for each of `keys`; a session without a row is TranscriptOnly."""
+    known = recovery_options(sessions, paths).groupBy("agent", "native_id").agg(F.max_by(F.struct("availability", "options"), F.struct("source_generation", "source_end")).alias("x"))
+    return keys.join(known, ["agent", "native_id"], "left").select(
+        "agent", "native_id", F.coalesce("x.availability", F.lit("TranscriptOnly")).alias("availability"), F.coalesce("x.options", F.array().cast("array<string>")).alias("options")
+    )
+
+
+def running_commands() -> list[str]:
+    """The command lines of the processes of this machine, arguments parted by spaces; none where it does not tell."""
+    lines = []
+    for pid in filter(str.isdigit, os.listdir("/proc") if os.path.isdir("/proc") else []):
+        try:
+            with open(f"/proc/{pid}/cmdline", "rb") as f:
+                lines.append(f.read().rstrip(b"\0").replace(b"\0", b" ").decode("utf-8", "replace"))
+        except OSError:  # gone, or another user's
+            continue
+    return [x for x in lines if x]
+
+
 def recreation_target() -> Column:
     """Whether a session's worktree may be made again: clean paths, a full commit, cwd inside the worktree."""
     root, tree, cwd = F.col("repository_root"), F.col("worktree"), F.col("cwd")

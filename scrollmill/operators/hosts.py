@@ -31,6 +31,20 @@ def agents_of(answers: DataFrame, host: str, answer: str = "answer") -> DataFram
     )
 
 
+def workspaces_of(answers: DataFrame, answer: str = "answer") -> DataFrame:
+    """`workspace_id, cwd, place` of the workspaces in a host's JSON answers, in their order; without a folder they are dropped."""
+    wire = "result struct<workspaces:array<struct<workspace_id:string,cwd:string>>>"
+    read = answers.select(F.posexplode(F.from_json(answer, wire)["result"]["workspaces"]).alias("place", "w"))
+    return read.select("w.workspace_id", "w.cwd", "place").dropna()
+
+
+def states_of(answers: DataFrame, answer: str = "answer") -> DataFrame:
+    """`session_id, state` of the agents in another kind of host's JSON list of blocks; both in small letters, null ids dropped."""
+    wire = "array<struct<session_id:string,block_id:string,claude_session_id:string,cwd:string,state:string>>"
+    read = answers.select(F.explode(F.from_json(answer, wire)).alias("b"))
+    return read.select(F.lower("b.claude_session_id").alias("session_id"), F.lower("b.state").alias("state")).filter("session_id is not null")
+
+
 def _in_workspace(sessions: DataFrame, workspaces: DataFrame, agents: DataFrame) -> DataFrame:
     """Each session with the agents of its kind in the workspace (the first by place) open at its folder."""
     first = workspaces.groupBy(F.col("cwd").alias("w_cwd")).agg(F.min_by("workspace_id", "place").alias("workspace_id"))

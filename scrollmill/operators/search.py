@@ -214,7 +214,7 @@ def with_sessions(results: DataFrame, sessions: DataFrame) -> DataFrame:
     Only the rows of the results' sessions are compared; results are as many as a limit allows.
     """
     sessions = sessions.join(F.broadcast(results.select("agent", "native_id").distinct()), ["agent", "native_id"], "left_semi")
-    wanted = ["agent", "native_id", "cwd", "repository", "repository_root", "worktree", "branch", "commit_hash", "started_at", "git_origin", "repository_url"]
+    wanted = ["agent", "native_id", "cwd", "repository", "repository_root", "worktree", "branch", "commit_hash", "started_at", "ended_at", "git_observed_at", "git_origin", "repository_url"]
     newest = sessions.groupBy("agent", "native_id").agg(F.max_by(F.struct(*wanted[2:]), F.struct(F.coalesce("source_generation", F.lit(-1)), F.coalesce("source_end", F.lit(-1)))).alias("s"))
     return results.join(newest, ["agent", "native_id"]).select(results["*"], "s.*")
 

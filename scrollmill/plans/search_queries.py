@@ -245,9 +245,11 @@ def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def newest_session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions after an upsert of each key's row of the latest generation and byte."""
-    known = table(spark, sf_dir, "sessions")
-    per = known.groupBy("agent", "native_id").agg(F.max_by("source_file_id", F.struct("source_generation", "source_end", "source_file_id")).alias("file"), F.count(F.lit(1)).alias("n_rows"))
-    return per
+    known = table(spark, sf_dir, "sessions").withColumn("version", F.struct("source_generation", "source_end", "source_file_id"))
+    rows = known.groupBy("agent", "native_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    keys = ["agent", "native_id"]
+    newest = ingest.newest(known, keys).withColumnsRenamed({k: f"_{k}" for k in keys})
+    return rows.join(newest, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).select(*keys, F.col("source_file_id").alias("file"), "n_rows")
 
 
 _TOKENS = r"coalesce(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}\p{M}\p{Co}]+'), [])"
