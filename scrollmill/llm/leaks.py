@@ -131,10 +131,14 @@ class Index:
         self.tell_words, self.tells = np.unique(all_code[tells], return_inverse=True)
         self.n_tells = np.bincount(self.sentence[tells], minlength=len(starts)).astype(np.int64)
         self.tell_at = np.cumsum([0, *self.n_tells])
-        bits = np.zeros(1 << 20, bool)
+        # of each mask a table of bits by which most seeds of a document are known to be no item's
+        self.shift, self.bits = [], []
         for hashes, _, _ in self.tables:
-            bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
-        self.bits = bits
+            size = min(26, max(16, (16 * len(hashes)).bit_length()))
+            bits = np.zeros(1 << size, bool)
+            bits[(hashes >> np.uint64(64 - size)).astype(np.int64)] = True
+            self.shift.append(np.uint64(64 - size))
+            self.bits.append(bits)
 
     def around(self, k: int, x: int) -> tuple:
         """Of sentence `x` of item `k`: places of its telling words, which of them are nearest to each word, a matcher."""
@@ -161,7 +165,7 @@ class Index:
         for m, mask in enumerate(MASKS):
             hashes, item, pos = self.tables[m]
             h = seeds(code, mask)
-            at = np.flatnonzero(self.bits[(h >> np.uint64(44)).astype(np.int64)])
+            at = np.flatnonzero(self.bits[m][(h >> self.shift[m]).astype(np.int64)])
             if not len(at) or not len(hashes):
                 continue
             lo, hi = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 
 import numpy as np
@@ -18,6 +19,8 @@ _ESCAPE = re.compile(r"\\(?:[nrtbf]|u([0-9a-fA-F]{4})|([\"/\\]))")
 _WORD = re.compile(r"[^\W_]+")
 # Letters of other alphabets that look like Latin ones.
 _ALIKE = str.maketrans("абвгеикмнорстухѕіјԁһѵԛԝαβεικνορτυχγ", "abbreukmhopctyxsijdhvqwabeiknoptuxy")
+#: Combining marks, each to nothing.
+_MARKS = {c: None for c in range(0x300, sys.maxunicode) if unicodedata.combining(chr(c))}
 
 
 def plain(text: str) -> str:
@@ -34,8 +37,7 @@ def plain(text: str) -> str:
         text = _WRAP.sub("", text)
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
-        text = unicodedata.normalize("NFKD", text)
-        text = "".join(c for c in text if not unicodedata.combining(c)).lower().translate(_ALIKE)
+        text = unicodedata.normalize("NFKD", text).translate(_MARKS).lower().translate(_ALIKE)
     return text.lower()
 
 
