@@ -38,7 +38,7 @@ _indexes: dict[tuple, postings.Index] = {}
 def index(spark: SparkSession, sf_dir: str) -> postings.Index:
     """The index of the chunks under `sf_dir`: built once a session, and anew if the table's files or their size changed."""
     chunks_ = table(spark, sf_dir, "search_chunks")
-    size = chunks_._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()
+    size = int(chunks_._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     key = (spark.sparkContext.applicationId, sf_dir, size, *sorted(chunks_.inputFiles()))
     if key not in _indexes:
         _indexes[key] = postings.build(chunks_, shared_folder(spark, "index"))
