@@ -13,6 +13,7 @@ import os
 import shutil
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,9 +90,12 @@ class Store:
         if now["version"] != base:
             raise Conflict(f"version {now['version']}, expected {base}")
         by = partition_by or {}
-        made = {name: [self._write(name, df, base + 1, by.get(name, []))] for name, df in tables.items()}
-        for name, df in (append or {}).items():
-            made[name] = [*made.get(name, now["tables"].get(name, [])), self._write(name, df, base + 1, by.get(name, []))]
+        todo = [*((name, df, True) for name, df in tables.items()), *((name, df, False) for name, df in (append or {}).items())]
+        with ThreadPoolExecutor(max(1, len(todo))) as pool:  # parts are written beside one another
+            parts = list(pool.map(lambda x: self._write(x[0], x[1], base + 1, by.get(x[0], [])), todo))
+        made: dict[str, list[str]] = {}
+        for (name, _, whole), part in zip(todo, parts):
+            made[name] = [*made.get(name, [] if whole else now["tables"].get(name, [])), part]
         new = now | {"version": base + 1, "tables": now["tables"] | made, "facts": now["facts"] | (facts or {})}
         part = os.path.join(self.root, f"part.{uuid.uuid4().hex}")
         with open(part, "w") as f:
