@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from scrollmill.functions.tokens import edits, spans, token_list, tokens
+from scrollmill.functions.tokens import edits, spans, tokens
 from scrollmill.operators import postings
 from scrollmill.operators.postings import Index
 from scrollmill.operators.ranking import counted, matches, score
