@@ -54,7 +54,7 @@ _EMAIL = re.compile(
 _LABELLED = re.compile(
     r"\b(?:(?P<ssn>ssn|social(?:[ ]security)?(?:[ ](?:number|no\b\.?|nr\b\.?))?)"
     r"|(?P<nino>nino|ni[ ](?:no\b\.?|number)|national[ ]insurance(?:[ ](?:number|no\b\.?))?)"
-    r"|(?P<dni>dni|nie|nif)"
+    r"|(?P<dni>dni|nie|nif|documento(?:[ ]nacional)?[ ]de[ ]identidad)"
     r"|(?P<tax>steuer-?(?:id(?:nr\b\.?)?|nummer)|tax[ ]id(?:[ ](?:number|no\b\.?))?|tin)"
     r"|(?P<pass>(?:reise)?pass(?:port|nummer)?(?:[ ](?:number|no\b\.?|nr\b\.?))?)"
     r"|(?P<card>(?:national[ ])?id(?:entity)?[ ]card(?:[ ](?:number|no\b\.?))?|personalausweis(?:[ -]?(?:nummer|nr\b\.?))?)"
@@ -219,6 +219,8 @@ def scan(items: DataFrame, lexicon: DataFrame) -> DataFrame:
                 words = [w for w in _WORD.findall(text) if w in known]
                 if words:
                     plain.update(words)
+                    # in an email address a name is no other word
+                    plain.subtract(w for s, e, kind in values if kind == "email" for w in _WORD.findall(text[s:e]) if w in known)
                     if not known_family.isdisjoint(words) and not known_given.isdisjoint(words):
                         at = 0
                         while m := _LOWER.search(text, at):
@@ -226,7 +228,7 @@ def scan(items: DataFrame, lexicon: DataFrame) -> DataFrame:
                             given, family = (m[3], m[1]) if m[2] == ", " else (m[1], m[3])
                             if given in known_given and family in known_family and all(m.end() <= s or m.start() >= e for s, e, _ in values):
                                 out.append(("lower", table, item, None, m.start(), m.end(), given, family, True, True, None, None, None))
-            out.extend(("plain", None, None, None, None, None, t, None, None, None, None, n, None) for t, n in plain.items())
+            out.extend(("plain", None, None, None, None, None, t, None, None, None, None, n, None) for t, n in plain.items() if n > 0)
             for t in total.keys() | mailed.keys():
                 out.append(("term", None, None, None, None, None, t, None, t in known_given, t in known_family, None, total[t], mailed[t]))
             if out:

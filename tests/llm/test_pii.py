@@ -23,6 +23,7 @@ LEXICON = [("Olana", "given"), ("Torvik", "given"), ("Mark", "given"), ("Kroftby
         ("The form holds 815-37-6560.", "id_number", "815-37-6560"),
         ("NI no QQ 48 56 99 B", "id_number", "QQ 48 56 99 B"),
         ("mi DNI es 96729544-A,", "id_number", "96729544-A"),
+        ("mi documento de identidad 96729544-A.", "id_number", "96729544-A"),
         ("tax id 56 599 152 551", "id_number", "56 599 152 551"),
         ("driver's licence F160-4737-6153", "id_number", "F160-4737-6153"),
         ("id card LG87Z7919", "id_number", "LG87Z7919"),
@@ -65,6 +66,11 @@ def test_names_known_learned_and_small(spark):
     assert out[at + 4] == ("Dr. [PERSON_NAME]", 1) and out[at + 6] == ("we mark stack here", 0) and out[len(texts) - 5][0] is None
 
 
+def test_small_names_that_stand_in_addresses(spark):
+    texts = ["ask olana osterby about it"] + [f"write to olana.osterby@m{i}.example" for i in range(5)]
+    assert (0, "person_name", "olana osterby") in _spans(spark, texts)[2]
+
+
 def test_words_that_are_also_names_need_a_part_that_discloses(spark):
     texts = [f"Reviewed-by: {g} {f}." for g, f in [("Olana", "Kroftby"), ("Torvik", "Osterby")] * 6]
     # `Mark` and `Stack` are names in the lexicon, here mostly words: together no person, with a known family one
