@@ -146,7 +146,7 @@ class Index:
             tells = self.tell_places[k][x]
             width = min(AROUND, len(tells))
             left = np.clip(np.searchsorted(tells, np.arange(len(self.words[k][x]))) - width // 2, 0, len(tells) - width)
-            out = self.kept[k, x] = tells.tolist(), left, left + width, SequenceMatcher(None, [], self.words[k][x], autojunk=False)
+            out = self.kept[k, x] = tells.tolist(), left.tolist(), (left + width).tolist(), SequenceMatcher(None, [], self.words[k][x], autojunk=False)
         return out
 
     def whole(self, code: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -241,11 +241,6 @@ def chains(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     return [tuple(c) for c in open_]
 
 
-def _near(same: np.ndarray, width: int) -> np.ndarray:
-    """Whether of the `width` nearest telling words more than half are the same, two at least where there are."""
-    return (same >= min(2, width)) & (2 * same > width)
-
-
 def verify(code: np.ndarray, index: Index, k: int, hits: list[tuple[int, int, int]], least: float = 0) -> int:
     """Own words of item `k` that the passages around the chains of `hits` hold; 0 if under `least`.
 
@@ -254,8 +249,7 @@ def verify(code: np.ndarray, index: Index, k: int, hits: list[tuple[int, int, in
     have fewer own words than `least`.
     """
     item, own, bounds = index.code[k], index.own[k], index.bounds[k]
-    held = np.zeros(len(item), bool)
-    done, met_ = set(), []
+    done, met_, most = set(), [], Counter()
     chained = [(c, range(bisect_right(bounds, c[2]) - 1, bisect_right(bounds, c[3] + MASKS[-1][-1]))) for c in chains(hits)]
     met = {x for _, xs in chained for x in xs}
     if sum((bounds[x + 1] if x + 1 < len(bounds) else len(item)) - bounds[x] for x in met if own[bounds[x]]) < least:
@@ -274,16 +268,15 @@ def verify(code: np.ndarray, index: Index, k: int, hits: list[tuple[int, int, in
             if sum(known) < index.needed[k][x]:
                 continue
             # words near enough telling words, were all that are in the passage equal
-            upto = np.array([0, *accumulate(known)])
-            can = _near(upto[right] - upto[left], right[0] - left[0]) if tells else np.ones(hi - lo, bool)
-            if can.any():
-                met_.append((lo, hi, can, tells, left, right, matcher, passage))
-    could = np.zeros(len(item), bool)
-    for lo, hi, can, *_ in met_:
-        could[lo:hi] |= can
-    if int((could & own).sum()) < least:
+            upto, width = [0, *accumulate(known)], right[0] - left[0]
+            can = sum([2 * (n := upto[b] - upto[a]) > width and n >= min(2, width) for a, b in zip(left, right)]) if tells else hi - lo
+            if can:
+                most[lo, hi] += can
+                met_.append((lo, hi, tells, left, right, matcher, passage))
+    if sum(min(n, hi - lo) for (lo, hi), n in most.items()) < least:
         return 0
-    for lo, hi, _, tells, left, right, matcher, passage in met_:
+    held = np.zeros(len(item), bool)
+    for lo, hi, tells, left, right, matcher, passage in met_:
         matcher.set_seq1(passage)
         equal, joined, before = bytearray(hi - lo), bytearray(hi - lo), None
         for j, i, size in matcher.get_matching_blocks():
@@ -295,7 +288,8 @@ def verify(code: np.ndarray, index: Index, k: int, hits: list[tuple[int, int, in
         if tells:
             # of the telling words nearest to each word: how many are equal
             upto = np.concatenate([[0], np.cumsum(equal[tells])])
-            held[lo:hi] |= (equal | joined) & _near(upto[right] - upto[left], right[0] - left[0])
+            same, width = upto[right] - upto[left], right[0] - left[0]
+            held[lo:hi] |= (equal | joined) & (same >= min(2, width)) & (2 * same > width)
         else:  # a sentence of patterns alone tells nothing unless it is there as it is
             held[lo:hi] |= equal.all()
     n_held = int((held & own).sum())
