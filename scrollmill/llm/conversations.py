@@ -219,7 +219,7 @@ def _chained(runs: DataFrame) -> DataFrame:
     several = many.filter(~whole).withColumn("node", F.when(numbered, _key(F.col("last_ordinal").alias("at"))).otherwise(_key(F.col("run").alias("run"))))
     before = F.lag(F.when(~numbered, F.col("node"))).over(own.orderBy(numbered, "run"))
     several = several.withColumn(
-        "parent", F.when(~numbered, before).when(F.col("first_ordinal") != 0, _key((F.col("first_ordinal") - 1).alias("at")))
+        "parent", F.when(~numbered, before).when(F.col("first_ordinal") != 0, _key(F.try_subtract(F.col("first_ordinal"), F.lit(1).cast("bigint")).alias("at")))
     )
     several = cut(several)
     # an ordinal held twice may end two runs: one node, of which the two have the same depth

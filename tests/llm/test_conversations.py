@@ -22,6 +22,8 @@ CASES = {
     "twice": [("user", 0, "a"), ("assistant", 1, "b"), ("assistant", 1, "other")],
     "twice at the start": [("user", 0, "a"), ("user", 0, "other"), ("assistant", 1, "b")],
     "two in a fork": [("user", 0, "a"), ("assistant", 1, "b"), ("user", 1, "c"), ("assistant", 2, "d"), ("assistant", 2, "e")],
+    "least of all": [("user", -(1 << 63), "a"), ("assistant", -(1 << 63) + 1, "b")],
+    "most of all": [("user", (1 << 63) - 1, "a"), ("assistant", 0, "b")],
     "below zero": [("user", -1, "a"), ("assistant", 0, "b")],
     "repeat": [("user", 0, "a"), ("assistant", 1, "b"), ("ASSISTANT", 1, " b ")],
     "some null": [("user", 0, "a"), ("assistant", None, "b")],
@@ -34,7 +36,7 @@ CASES = {
     "by time open": [("assistant", None, "a"), ("user", None, "b")],
 }
 WANT = {
-    "fine": None, "gap": "broken", "start": "broken", "twice": "broken", "twice at the start": "broken", "two in a fork": "broken", "below zero": "broken", "repeat": None, "some null": "broken", "blank": "empty", "no speaker": "empty",
+    "fine": None, "gap": "broken", "start": "broken", "twice": "broken", "twice at the start": "broken", "two in a fork": "broken", "below zero": "broken", "least of all": "broken", "most of all": "broken", "repeat": None, "some null": "broken", "blank": "empty", "no speaker": "empty",
     "late start": "broken", "open end": "no_reply", "two users": "no_reply", "by time": None, "by time open": "broken",
 }
 
