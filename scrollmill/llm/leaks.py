@@ -123,7 +123,7 @@ class Index:
         starts = np.concatenate(starts) if starts else np.empty(0, np.int64)
         self.sentence = np.repeat(np.arange(len(starts)), np.diff([*starts, self.offset[-1]])) if len(starts) else np.empty(0, np.int64)
         own_at = np.concatenate(self.own) if self.own else np.empty(0, bool)
-        self.own_words = np.bincount(self.sentence, own_at, len(starts))
+        self.is_own, self.own_words = own_at, np.bincount(self.sentence, own_at, len(starts))
         self.n_own = np.array([int(o.sum()) for o in self.own])
         # the telling words of each sentence, as places in the list of all of them
         tells = np.concatenate(self.telling) if self.telling else np.empty(0, bool)
@@ -131,6 +131,10 @@ class Index:
         self.tell_words, self.tells = np.unique(all_code[tells], return_inverse=True)
         self.n_tells = np.bincount(self.sentence[tells], minlength=len(starts)).astype(np.int64)
         self.tell_at = np.cumsum([0, *self.n_tells])
+        # of each word where among its sentence's telling words the nearest begin and end
+        near = [self.around(k, x)[1:3] for k, xs in enumerate(self.words) for x in range(len(xs))]
+        self.near = tuple(np.array([i for pair in near for i in pair[side]], np.int64) for side in (0, 1))
+        self.first_word = np.cumsum([0, *np.bincount(self.sentence, minlength=len(starts))]).astype(np.int64)
         # of each mask a table of bits by which most seeds of a document are known to be no item's
         self.shift, self.bits = [], []
         for hashes, _, _ in self.tables:
@@ -190,8 +194,8 @@ def grouped(index: Index, code: np.ndarray, begin: np.ndarray, least_share: floa
     """(document, item, hits) of the pairs that can hold the share: `code` has all documents, `begin` their starts.
 
     A chain of hits meets sentences that lie within its reach of a hit, and of these only such
-    count as have enough of their telling words anywhere in the document; a pair is left out if
-    all that count have fewer own words than the share.
+    count as have enough of their telling words anywhere in the document, and of their words such as
+    are near these; a pair is left out if all that count are fewer own words than the share.
     """
     found = [(np.searchsorted(begin, d, "right") - 1, k, d, p, np.full(len(d), m)) for d, k, p, m in index.hits(code)]
     if not found:
@@ -214,8 +218,16 @@ def grouped(index: Index, code: np.ndarray, begin: np.ndarray, least_share: floa
         held = np.concatenate([[0], np.cumsum(present[known] == asked)]) if len(present) else np.zeros(len(asked) + 1, np.int64)
         ends = np.cumsum(n)
         enough = held[ends] - held[ends - n] >= _least_telling(n)
-        met_pair, sentence = met_pair[enough], sentence[enough]
-    most = np.bincount(met_pair, index.own_words[sentence], len(pair))
+        met_pair, sentence, base = met_pair[enough], sentence[enough], (ends - n)[enough]
+        # words of these near enough telling words, were all equal that are in the document
+        n = index.first_word[sentence + 1] - index.first_word[sentence]
+        word = _ranges(index.first_word[sentence], n)
+        left, right, base = index.near[0][word], index.near[1][word], np.repeat(base, n)
+        same, width = held[base + right] - held[base + left], right - left
+        can = (same >= np.minimum(2, width)) & ((2 * same > width) | (width == 0)) & index.is_own[word]
+        most = np.bincount(np.repeat(met_pair, n), can, len(pair))
+    else:
+        most = np.bincount(met_pair, index.own_words[sentence], len(pair))
     kept = most >= least_share * index.n_own[pair % len(index.ids)]
     some = np.flatnonzero(kept[of])
     some = some[np.argsort(of[some], kind="stable")]

@@ -19,8 +19,9 @@ _ESCAPE = re.compile(r"\\(?:[nrtbf]|u([0-9a-fA-F]{4})|([\"/\\]))")
 _WORD = re.compile(r"[^\W_]+")
 # Letters of other alphabets that look like Latin ones.
 _ALIKE = str.maketrans("абвгеикмнорстухѕіјԁһѵԛԝαβεικνορτυχγ", "abbreukmhopctyxsijdhvqwabeiknoptuxy")
-#: Combining marks, each to nothing.
-_MARKS = {c: None for c in range(0x300, sys.maxunicode) if unicodedata.combining(chr(c))}
+# Combining marks, and the alphabets of the letters that look alike.
+_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, sys.maxunicode) if unicodedata.combining(chr(c))) + "]")
+_OTHER = re.compile("[Ͱ-ԯ]")
 
 
 def plain(text: str) -> str:
@@ -37,7 +38,9 @@ def plain(text: str) -> str:
         text = _WRAP.sub("", text)
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
-        text = unicodedata.normalize("NFKD", text).translate(_MARKS).lower().translate(_ALIKE)
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower()
+        if _OTHER.search(text):
+            text = text.translate(_ALIKE)
     return text.lower()
 
 
