@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from scrollmill.llm import truncation as x
@@ -142,3 +143,76 @@ def test_alignment_has_no_window():
     for words in (body, body[:900] + ["other", "ending"], numbered(random.Random(11), 60) + body):
         assert not ends_early(words)[1]
     assert not x.aligned(" ".join(body[:900]) + ".", whole)[1]
+
+
+def brute(texts):
+    """All pairs that share a bucket, from the signatures of the texts one by one."""
+    salts = np.random.Generator(np.random.PCG64(20)).integers(1, 1 << 63, x.BANDS * x.ROWS, dtype=np.int64).view(np.uint64) | np.uint64(1)
+    words = [x._WORDS.findall(x.unmarked(t).lower()) for t in texts]
+    steps = [s or [] for s in x.signatures(words, salts)]
+    width, out = 1 + x.BANDS, {}
+    keys = [{k for i, k in enumerate(s) if i % width} for s in steps]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            if texts.index(b) == j and texts.index(a) == i and i != j and x.unmarked(a)[-1] not in x.STOPS and keys[j] & set(steps[i][-x.BANDS :]):
+                like, cut = x.aligned(a, b)
+                if like >= x.LEAST_SIMILAR:
+                    out[i, j] = cut
+    return out
+
+
+@pytest.mark.parametrize("bucket", [256, 7, 2])
+def test_no_text_of_a_large_bucket_stands_for_others(spark, monkeypatch, bucket):
+    monkeypatch.setattr(x, "BUCKET", bucket)
+    rng = random.Random(31)
+    body = numbered(rng, 60)
+    cut, swapped = body[:50], [*body[:45], "odd", body[46], "even", body[48], body[49]]
+    decoy = lambda i: " ".join([*body[:i], f"other{i}", *body[i + 1 : 50]])
+    # 40 texts that go on alike, but in a sentence of their own; the last one goes on in the same sentence
+    texts = [f"{decoy(i)}. {body[50]} ends it {i}." for i in range(40)] + [" ".join(cut), " ".join(body) + "."]
+    got = pairs_of(spark, texts)
+    assert got == brute(texts) and {a for (a, _), c in got.items() if c} == {40} and len(got) > 30
+    # no three of the copy's last words in a row stand in the original
+    texts[40] = " ".join(swapped)
+    got = pairs_of(spark, texts)
+    assert got == brute(texts) and got[40, 41]
+    df = spark.createDataFrame([(i, t, "s", "k", "d") for i, t in enumerate(texts)], SCHEMA)
+    assert [r["sign"] for r in x.truncated(df).filter("doc_id = 40").collect()] == ["copy"]
+
+
+def test_texts_of_the_same_words_go_on_differently(spark):
+    body = numbered(random.Random(32), 90)
+    # the same words, the longer text with a stop where the copy ends
+    texts = [" ".join(body[:40]), " ".join(body[:40]) + ". " + " ".join(body[40:]) + " and more of it.", " ".join(body) + "."]
+    assert pairs_of(spark, texts) == brute(texts) == {(0, 1): False, (0, 2): True}
+
+
+@pytest.mark.parametrize("bucket", [256, 5])
+def test_pairs_and_cuts_of_random_families(spark, monkeypatch, bucket):
+    monkeypatch.setattr(x, "BUCKET", bucket)
+    rng = random.Random(33)
+    texts = []
+    for _ in range(4):
+        body = numbered(rng, 45)
+        for _ in range(25):
+            words = list(body[: rng.randint(30, 45)])
+            for _ in range(rng.randint(0, 2)):
+                words[rng.randrange(len(words))] = rng.choice(["odd", "even", words[-1][:2]])
+            if rng.random() < 0.5:
+                words[rng.randint(28, len(words) - 1)] += "."
+            texts.append(" ".join(words) + rng.choice(["", "", ".", " [truncated]", words[-1]]))
+    texts += texts[:3]
+    want = brute(texts)
+    df = spark.createDataFrame([(i, t, "s", "k", "d") for i, t in enumerate(texts)], SCHEMA)
+    scanned = x.scan(df).cache()
+    got = {(r["doc_id"], r["longer_id"]): r["is_cut"] for r in x.near_copies(df, scanned).collect()}
+    assert got == want and len(got) > 300
+    told = [(r["doc_id"], r["longer_id"], r["is_cut"]) for r in x.near_copies(df, scanned, cut_only=True).collect()]
+    assert {a for a, _, _ in told} == {a for (a, _), c in want.items() if c} and all(c and want[a, b] for a, b, c in told)
+    # others are looked through a few at a time; nothing hangs on how many
+    monkeypatch.setattr(x, "_MOST_AT_ONCE", 50)
+    members = [x._Member((1, 0, i, text, 0, 0, 0, *range(x.BANDS))) for i, text in enumerate(texts[:-3])]
+    alike = lambda cut_only: {(a.id, b.id): like for a, near in x._alike(members, members, cut_only) for b, like in near}
+    each = {(a.id, b.id): x.aligned(a.text, b.text) for a in members for b in members if a is not b}
+    assert alike(False) == {p: like for p, (like, _) in each.items() if like >= x.LEAST_SIMILAR}
+    assert {p for p, (_, cut) in each.items() if cut} <= set(alike(True)) <= set(alike(False))
